@@ -31,6 +31,19 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def running_starts(sizes: Column, block: int = 256) -> Column:
+    """For an array of sizes, where each item begins if they stand end to end: two levels of blocks, so long arrays stay near linear."""
+
+    def sums(xs: Column) -> Column:
+        return F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def joined(blocks: Column) -> Column:
+        return let(sums(F.transform(blocks, lambda b: F.element_at(b, -1))), lambda first: F.flatten(F.transform(blocks, lambda b, k: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: x + F.get(first, k)))))
+
+    numbers = F.sequence(F.lit(0), F.greatest((F.size(sizes) - 1) / block, F.lit(0)).cast("int"))
+    return let(F.transform(numbers, lambda b: sums(F.slice(sizes, b * block + 1, F.lit(block)))), joined)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without one a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

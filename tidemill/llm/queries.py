@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op3_chat, op7_sharding, op9_quality
+from . import op2_dartminhash, op3_chat, op6_pii, op7_sharding, op8_packing, op9_quality
 from .common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed package of public tokenizers keeps a file; every machine has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_dartminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, whose texts hold the control strings of another template."""
     whole = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -19,17 +30,28 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_chat.digest(whole.unionByName(planted))
 
 
+def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op8_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_quality.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_dart_minhash": op2_dart_minhash,
     "op3_chat_format": op3_chat_format,
+    "op6_sanitise": op6_sanitise,
     "op7_hash_tree": op7_hash_tree,
+    "op8_cutting_stock": op8_cutting_stock,
     "op9_rule_ledger": op9_rule_ledger,
 }
 
