@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op2_dartminhash, op3_chat, op6_pii, op7_sharding, op8_packing, op9_quality
+from . import op2_dartminhash, op3_chat, op4_ego, op5_langid, op6_pii, op7_sharding, op8_packing, op9_quality
 from .common import table
 
 
@@ -30,6 +30,14 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_chat.digest(whole.unionByName(planted))
 
 
+def op4_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_ego.links(table(spark, sf_dir, "embeddings"))
+
+
+def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_langid.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_pii.digest(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,8 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_dart_minhash": op2_dart_minhash,
     "op3_chat_format": op3_chat_format,
+    "op4_ego_join": op4_ego_join,
+    "op5_crf_language": op5_crf_language,
     "op6_sanitise": op6_sanitise,
     "op7_hash_tree": op7_hash_tree,
     "op8_cutting_stock": op8_cutting_stock,
