@@ -126,16 +126,17 @@ def disclosures(docs: DataFrame, support: int = SUPPORT, generalise: float = GEN
     )).alias("x")).select("doc_id", "text_key", "x.*"))
     both = beside.select("text_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     n_entity = both.where(F.col("term").isNull()).select("entity", F.col("n_both").alias("n_entity"))
-    pairs = saved(both.where(F.col("term").isNotNull() & (F.col("n_both") >= support)).join(n_entity, "entity"))
-    terms = pairs.select("term").distinct()
-    words = keyed.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    n_term = words.join(saved(terms), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n_texts = keyed.select("text_key").distinct().agg(F.count(F.lit(1)).alias("n_texts"))
+    n_beside = beside.where(F.col("term").isNotNull()).select("text_key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
+    n_texts = float(keyed.select("text_key").distinct().count())
     bits = lambda x: F.log(x) / F.log(F.lit(2.0))
-    pmi = bits(F.col("n_texts") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    ic = bits(F.col("n_texts") / F.col("n_entity"))
-    told = pairs.join(n_term, "term").crossJoin(F.broadcast(n_texts)).where(F.col("n_texts") > F.col("n_entity"))  # one row: the number of texts
-    out = told.select("entity", "term", (pmi / ic).alias("ratio")).where(F.col("ratio") >= generalise)
+    ic = bits(n_texts / F.col("n_entity"))
+    share = lambda n: bits(n_texts * F.col("n_both") / (F.col(n) * F.col("n_entity"))) / ic
+    often = both.where(F.col("term").isNotNull() & (F.col("n_both") >= support)).join(n_entity, "entity").where(n_texts > F.col("n_entity"))
+    # a term occurs in at least the texts where it stands beside an entity, so this bound drops common words and no pair that passes below
+    pairs = saved(often.join(n_beside, "term").where(share("n_beside") >= generalise).drop("n_beside"))
+    words = keyed.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
+    n_term = words.join(saved(pairs.select("term").distinct()), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    out = pairs.join(n_term, "term").select("entity", "term", share("n_term").alias("ratio")).where(F.col("ratio") >= generalise)
     return beside.where(F.col("term").isNotNull()), out, beside
 
 
