@@ -196,14 +196,14 @@ def trained(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
 
 
 def predicted(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` of `docs` with lang_pred and score."""
+    """The columns `keep` of `docs` with __lang and __score, names that no input should have."""
     kept = [F.col(c) for c in keep]
     if model is None:
-        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*kept, F.lit(UNKNOWN).alias("__lang"), F.lit(0.0).alias("__score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's parameters
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    schema = StructType([*(docs.schema[c] for c in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("__lang", StringType()), StructField("__score", DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -222,7 +222,7 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFram
                     ends = np.cumsum(sizes)[has]
                     mean = np.add.reduceat(marginal, ends - sizes[has], axis=0) / sizes[has][:, None]
                     best[has], score[has] = mean.argmax(axis=1), np.clip(mean.max(axis=1), 0, 1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, 2048) for k in range(len(keep))), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, 2048) for k in range(len(keep))), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, "__lang", "__score"])
 
     return docs.select(*kept, words_of(F.col("text")).alias("__words")).mapInArrow(work, schema)
 
@@ -230,10 +230,10 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFram
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     made = predicted(docs, trained(docs), ["doc_id"])
-    return made.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return made.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of `docs` with a known language, with their columns; lang is what was predicted. Texts without letters, or without a language of the share `least`, go."""
     made = predicted(docs, trained(docs), docs.columns)
-    return made.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return made.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).withColumn("lang", F.col("__lang")).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op2_dartminhash, op3_chat, op4_ego, op5_langid, op6_pii, op7_sharding, op8_packing, op9_quality
+from . import op1_sentencepiece, op2_dartminhash, op3_chat, op4_ego, op5_langid, op6_pii, op7_sharding, op8_packing, op9_quality, op10_toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_sentencepiece.digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_dartminhash.classes(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,12 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_piece_viterbi": op1_piece_viterbi,
     "op2_dart_minhash": op2_dart_minhash,
     "op3_chat_format": op3_chat_format,
     "op4_ego_join": op4_ego_join,
@@ -63,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_hash_tree": op7_hash_tree,
     "op8_cutting_stock": op8_cutting_stock,
     "op9_rule_ledger": op9_rule_ledger,
+    "op10_deobfuscated": op10_deobfuscated,
 }
 
 ORACLE: dict[str, str] = {
