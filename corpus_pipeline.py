@@ -1,8 +1,58 @@
-"""The corpus pipeline: quality rules, language ID, near-dedup, personal data, packing."""
+"""The corpus pipeline: quality rules, language ID, near-duplicates, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is stored and read again as the next one's docs.
+All but the last keep the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemill.llm import op2_dartminhash, op5_langid, op6_pii, op8_packing, op9_quality
+from tidemill.llm.common import saved, table
+from tidemill.llm.queries import tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the policy of the rule ledger keeps."""
+    return op9_quality.accepted(docs)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a known language, which becomes their lang."""
+    return op5_langid.identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class."""
+    return op2_dartminhash.deduplicated(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data and disclosing terms replaced."""
+    return op6_pii.sanitised(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and where they lie in the sequences."""
+    return op8_packing.packed(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("language ID", language),
+    ("near-duplicates", near_duplicates),
+    ("personal data", personal_data),
+    ("packing", packing),
+]
+
+#: No SQL expresses the trained, hashed and packed stages; tests/llm/test_pipeline.py compares with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each but the last is stored before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
