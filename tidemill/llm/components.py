@@ -28,7 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         drop(now)
         now, before, state = after, state, _state(after)
         if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+            out.saved_path = now.saved_path  # for drop()
+            return out
 
 
 def _state(edges: DataFrame) -> tuple:

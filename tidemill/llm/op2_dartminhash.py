@@ -7,7 +7,9 @@ regions get equal darts in every document. A signature keeps the earliest dart o
 so two documents agree in a coordinate with the probability of their weighted Jaccard similarity, at a cost of the
 document's length plus k log k darts, whatever its weight.
 
-`BANDS` bands of `ROWS` coordinates are joined. Candidates in a bucket are compared with pivots, exactly, on their
+`BANDS` bands of `ROWS` coordinates are joined. Candidates in a bucket are compared with pivots. A pair whose sketches
+(four bits of each coordinate) differ in more than `DIFFERING` places is dropped: a pair of similarity 0.8 differs in 24
+of 126 on average, with a deviation of 4.4, so 42 lies beyond four deviations. The others are compared exactly, on their
 shingles: pairs with a similarity of `SIMILARITY` or more are links, and classes are the links' components. In a round
 every bucket that still holds two classes names pivots (first one, then 16 times more in each round), each pivot is
 compared with the bucket's members of other classes, and leaves the bucket. The rounds end when no bucket holds two
@@ -35,6 +37,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 21, 6
 COORDINATES = BANDS * ROWS
+#: Words of a sketch.
+SKETCH = -(-COORDINATES // 16)
+#: Coordinates in which the four-bit sketches of a candidate pair may differ.
+DIFFERING = 42
 #: Regions worked on at once in a worker; a longer document is worked on alone.
 CHUNK = 100_000
 
@@ -112,6 +118,26 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates to a word."""
+    bits = np.zeros((len(signature), 16 * SKETCH), np.uint64)
+    bits[:, :COORDINATES] = mix(signature) & np.uint64(15)
+    parts = bits.reshape(len(signature), SKETCH, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(parts, axis=2)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """In how many coordinates two sketches differ."""
+    low = F.lit(0x1111111111111111)
+
+    def word(k: int) -> Column:
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        x = x.bitwiseOR(F.shiftright(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftright(x, 2)).bitwiseAND(low))
+
+    return sum((word(k) for k in range(1, SKETCH)), word(0))
+
+
 def _chunks(column: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows with about CHUNK words: (first row, row after the last, words, ends)."""
     offsets = column.offsets.to_numpy()
@@ -134,28 +160,30 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, words, ends in _chunks(batch.column(3)):
-                doc, region = regions(words, ends)
-                made = bands(signatures(doc, region, b - a)).astype(np.uint64).view(np.int64)
+            for a, b, hashes, ends in _chunks(batch.column(3)):
+                doc, region = regions(hashes, ends)
+                signature = signatures(doc, region, b - a)
+                made, short = bands(signature).view(np.int64), np.ascontiguousarray(sketches(signature)).view(np.int64)
                 count = pa.array(np.bincount(doc, minlength=b - a), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(made.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), count, lists], names=["doc_id", "k1", "k2", "n", "bands"])
+                words = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * SKETCH), pa.array(short.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), count, lists, words], names=["doc_id", "k1", "k2", "n", "bands", "sketch"])
 
     hashed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("w")).where(F.size("w") > 0)
-    return hashed.select("doc_id", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), "w").mapInArrow(work, "doc_id long, k1 long, k2 long, n long, bands array<long>")
+    return hashed.select("doc_id", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), "w").mapInArrow(work, "doc_id long, k1 long, k2 long, n long, bands array<long>, sketch array<long>")
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """node and its regions, for the rows of `docs` (doc_id, text)."""
+    """node and its regions by the upper half of their hashes, for the rows of `docs` (doc_id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words, ends in _chunks(batch.column(1)):
                 doc, region = regions(words, ends)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b - a))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(region.view(np.int64)))], names=["node", "regions"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array((region >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["node", "regions"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("node"), word_hashes(F.col("text")).alias("w")).mapInArrow(work, "node long, regions array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("node"), word_hashes(F.col("text")).alias("w")).mapInArrow(work, "node long, regions array<int>")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -163,38 +191,42 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = saved(signed(docs))
     firsts = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     homes = saved(rows.select("doc_id", "k1", "k2").join(firsts, ["k1", "k2"]).groupBy("doc_id").agg(F.min("node").alias("node")))
-    nodes = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bands")).alias("x")).select(F.col("x.doc_id").alias("node"), F.col("x.n").alias("n"), F.col("x.bands").alias("bands"))
-    spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    nodes = rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("x")).select(F.col("x.doc_id").alias("node"), "x.n", "x.bands", "x.sketch")
+    spread = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = spread.join(sizes, "bucket")
     central = members.groupBy("node").agg(F.sum(F.log2(F.col("size").cast("double"))).alias("central"))
-    members = saved(members.select("bucket", "node", "n").join(central, "node"))
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
+    about = nodes.select("node", "n", "sketch").join(central, "node")
+    members = saved(members.select("bucket", "node").join(about, "node"))
+    wanted = saved(members.select(F.col("node").alias("doc_id")).distinct())  # stored, so that Spark knows whether it is small enough to broadcast
     sets = saved(shingled(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")).groupBy("node").agg(F.min("regions").alias("regions")))
     same = rows.select("doc_id", "k1", "k2").join(firsts, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
     # rows of one doc_id with different words are one document: their word lists are linked
     links = same.join(homes.select(F.col("doc_id").alias("a"), F.col("node").alias("home")), "a").where("b <> home").select(F.col("b").alias("a"), F.col("home").alias("b"))
     forest, pivots = components(links), 1
     while True:
-        placed = members.join(forest, "node", "left").select("bucket", "node", "n", "central", F.coalesce("comp", "node").alias("comp"))
+        placed = members.join(forest, "node", "left").select("bucket", "node", "n", "central", "sketch", F.coalesce("comp", "node").alias("comp"))
         mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
         left = saved(placed.join(mixed, "bucket", "left_semi"))
         if left.isEmpty():
+            drop(left, members, sets, wanted)
             break
         weight = left.select("comp", "node").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
         salted = left.join(weight, "comp").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)))
         rank = F.struct("central", F.col("node")) if pivots == 1 else F.struct(-F.col("weight"), F.col("central"), F.col("node"))
-        chosen = salted.groupBy("bucket", "salt").agg(F.max_by(F.struct("node", "n", "comp"), rank).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp"))
+        chosen = salted.groupBy("bucket", "salt").agg(F.max_by(F.struct("node", "n", "comp", "sketch"), rank).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp"), F.col("p.sketch").alias("pivot_sketch"))
         chosen = saved(chosen)
         near = (F.col("n") >= similarity * F.col("pivot_n") - 1e-9) & (F.col("pivot_n") >= similarity * F.col("n") - 1e-9)
-        pairs = left.join(chosen, "bucket").where((F.col("comp") != F.col("pivot_comp")) & near).select("pivot", "node").distinct()
+        alike = (F.col("comp") != F.col("pivot_comp")) & near & (differing(F.col("sketch"), F.col("pivot_sketch")) <= DIFFERING)
+        pairs = left.join(chosen.withColumnRenamed("bucket", "__b"), (F.col("bucket") == F.col("__b")) & alike).select("pivot", "node").distinct()
         one = pairs.join(sets, "node").select("pivot", F.col("node").alias("other"), F.col("regions").alias("mine"))
         both = one.join(sets.withColumnRenamed("node", "pivot"), "pivot")
         shared = F.size(F.array_intersect("mine", "regions"))
         found = both.where(shared >= similarity * (F.size("mine") + F.size("regions") - shared) - 1e-9).select(F.col("other").alias("a"), F.col("pivot").alias("b"))
-        forest = components(forest.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found))
-        members = saved(left.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "central"))
-        pivots *= 16
+        joined = components(forest.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found))
+        fewer = saved(left.join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "central", "sketch"))
+        drop(forest, members, left, chosen)
+        forest, members, pivots = joined, fewer, 16 * pivots
     known = homes.join(forest, "node", "left").select(F.col("doc_id").alias("__id"), F.col("node").alias("copy_of"), F.coalesce("comp", "node").alias("component_id"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(known, F.col("doc_id") == F.col("__id"), "left")
     return out.select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
