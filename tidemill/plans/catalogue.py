@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import change, norm_cdf_sql, pct_rank, zscore
 from ..operators import backtest, clusters, features, metrics, models, portfolio, regime, splits
 from ..sources import panels as src
-from . import sql
+from . import pipelines, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -267,14 +267,14 @@ SELECT rebal, ticker, round(w * CASE WHEN nm.rows >= 60 AND names >= 2 AND v > 0
 
 
 def _backtest(spark, d):
-    px = src.px_smooth(spark, d)
+    px = src.px_smooth(spark, d).cache()  # prices, scores and growth read it
     return px, backtest.parts(px, portfolio.equal_weight(portfolio.top_n(_scores(spark, d, px), 5)))
 
 
 def curve(spark, d):
     """The flagship book's curve: the five best brands by one-month momentum, equally weighted each month."""
     px, p = _backtest(spark, d)
-    return backtest.returns(backtest.equity(px, p))
+    return backtest.returns(backtest.equity(px, p)).cache()  # one row per day; the metrics read it several times
 
 
 query("bt_nav", f"WITH {sql.BACKTEST} SELECT date, round(equity, 2) AS equity, round(ret, 6) AS ret FROM cv")(lambda spark, d: rounded(curve(spark, d), equity=2))
@@ -319,7 +319,7 @@ nw AS (SELECT cal.date, CASE WHEN a_t.date IS NOT NULL THEN CASE WHEN coalesce((
 SELECT date, round(last_value(x IGNORE NULLS) OVER (ORDER BY date), 6) AS ipc FROM nw""")
 def m_ipc(spark, d):
     px, p = _backtest(spark, d)
-    return rounded(metrics.portfolio_correlation(backtest.weights(p), features.with_returns(px)))
+    return rounded(metrics.portfolio_correlation(backtest.weights(p).cache(), features.with_returns(px).cache()))  # both are read several times
 
 
 query("m_constraints", f"""WITH {sql.DRAWDOWN}, g AS (SELECT max(s) AS gross FROM (SELECT date, sum(value / v) AS s FROM hd JOIN vl USING (k, date) GROUP BY date UNION ALL SELECT rebal, tot FROM sg)), t AS (SELECT max_by(equity, date) / min_by(equity, date) - 1 AS total FROM cv)
@@ -443,6 +443,19 @@ query("hrp")(lambda spark, d: clusters.hrp_weights(_held(spark, d, 252)))
 query("select_allocate")(lambda spark, d: clusters.select_and_allocate(_scores(spark, d), _held(spark, d, 252), 10))
 
 
+query("pipeline_a")(lambda spark, d: pipelines.production(spark, d))
+query("pipeline_b")(lambda spark, d: pipelines.two_stage(spark, d))
+query("universe_size", f"WITH {sql.PX}, n AS (SELECT date, count(close) AS n FROM px WHERE close IS NOT NULL GROUP BY date) SELECT round(avg(n), 6) AS mean, min(n) AS low, max(n) AS high FROM n")(lambda spark, d: rounded(pipelines.universe_size(src.px_smooth(spark, d))))
+query("sharpe_uplift", f"WITH {sql.BACKTEST}, mk AS (SELECT date, avg(close) AS close FROM px GROUP BY date), mr AS (SELECT close / lag(close) OVER (ORDER BY date) - 1 AS r FROM mk WHERE close IS NOT NULL), b AS (SELECT avg(coalesce(r, 0)) / stddev_samp(coalesce(r, 0)) AS s FROM mr), a AS (SELECT avg(ret) / stddev_samp(ret) AS s FROM cv) SELECT round(a.s / b.s, 5) AS uplift FROM a, b")(
+    lambda spark, d: rounded(pipelines.uplift(curve(spark, d), backtest.returns(backtest.benchmark(src.market(src.px_smooth(spark, d))))), 5)
+)
+query("forecast_line", f"""WITH {sql.MARKET}, rb AS (SELECT min(date) AS rebal FROM cal GROUP BY date_trunc('month', date)), z AS (SELECT date, count(close) OVER w AS n, regr_slope(ln(close), i) OVER w AS b FROM mk WINDOW w AS (ORDER BY date ROWS BETWEEN 1260 PRECEDING AND 1 PRECEDING))
+SELECT date, round(CASE WHEN n >= 252 THEN exp(b * 21) - 1 ELSE 0.0 END, 5) AS value FROM z JOIN rb ON date = rebal""")(
+    lambda spark, d: rounded(pipelines.trailing_forecast(m := src.market(src.px_smooth(spark, d)), portfolio.rebalances(m.select("date"))), 5)
+)
+query("ew_correlation")(lambda spark, d: pipelines.equal_weight_correlation(src.px_smooth(spark, d)))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Brand panel, one-month momentum, monthly top five, segment backtest, summary."""
     return metrics.summary(curve(spark, d))
