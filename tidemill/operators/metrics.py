@@ -100,10 +100,10 @@ def portfolio_correlation(weights: DataFrame, returns: DataFrame, window: int =
     long = spread.join(returns.select("i", "ticker", F.coalesce("ret", F.lit(0.0)).alias("r")), ["i", "ticker"])
     g = Window.partitionBy("at", "ticker")
     z = long.withColumn("z", safe_div(F.col("r") - F.avg("r").over(g), F.stddev_pop("r").over(g)))
-    flat = z.groupBy("at").agg((F.count("z") < F.count(F.lit(1))).alias("flat"))
-    var = z.groupBy("at", "i").agg(F.sum(F.col("w") * F.col("z")).alias("s")).groupBy("at").agg(F.var_pop("s").alias("v"))
-    squares = held.groupBy("at").agg(F.sum(F.col("w") * F.col("w")).alias("q"))
-    some = var.join(squares, "at").join(flat, "at").select("at", F.when(~F.col("flat"), (F.col("v") - F.col("q")) / (1 - F.col("q"))).alias("x"))
+    # one chain of groups: the weighted sum of each row, then its variance; a name without variance leaves a date unknown
+    rows = z.groupBy("at", "i").agg(F.sum(F.col("w") * F.col("z")).alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"), (F.count("z") < F.count(F.lit(1))).alias("flat"))
+    some = rows.groupBy("at").agg(F.var_pop("s").alias("v"), F.max("q").alias("q"), F.max("flat").alias("flat"))
+    some = some.select("at", F.when(~F.col("flat"), (F.col("v") - F.col("q")) / (1 - F.col("q"))).alias("x"))
     days = returns.select("i", "date").distinct().join(F.broadcast(some), F.col("date") == F.col("at"), "left").join(F.broadcast(sums.select(F.col("at").alias("__a"), "names")), F.col("date") == F.col("__a"), "left")
     renewed = (F.col("i") > window) & ((F.col("i") - 1) % thin == 0)
     value = F.when(renewed, F.when(F.coalesce("names", F.lit(0)) < 2, F.lit(0.0)).otherwise(F.col("x")))
