@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tidemill.llm import op2_dartminhash as D
 from tidemill.llm.components import components
@@ -52,7 +53,10 @@ def corpus(seed=3):
     return [*texts, "", None, " \n", "few words", "few  WORDS", "other words", "a a a a a a a a a a a a a a", "a a a a a a a a a a a a a", "zz " * 5000]
 
 
-def test_classes(spark):
+@pytest.mark.parametrize("large", [(16, 512), (2, 3)])
+def test_classes(spark, monkeypatch, large):
+    monkeypatch.setattr(D, "LARGE", large[0])
+    monkeypatch.setattr(D, "BLOCK", large[1])
     texts = corpus()
     rows = [(k, t, "clash") for k, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, node string")

@@ -12,8 +12,10 @@ document's length plus k log k darts, whatever its weight.
 of 126 on average, with a deviation of 4.4, so 42 lies beyond four deviations. The others are compared exactly, on their
 shingles: pairs with a similarity of `SIMILARITY` or more are links, and classes are the links' components. In a round
 every bucket that still holds two classes names pivots (first one, then 16 times more in each round), each pivot is
-compared with the bucket's members of other classes, and leaves the bucket. The rounds end when no bucket holds two
-classes; so every pair that shares a band is either compared or already in one class, without all pairs of a group.
+compared with the bucket's members of other classes, and leaves the bucket. After the first round, buckets of more than
+`LARGE` members are dealt to tasks by pairs of blocks, where matrix products compare all their shingles and only a
+forest of the links leaves the task. The rounds end when no bucket holds two classes; so every pair that shares a band
+is either compared or already in one class, and no rows for all pairs of a group are made.
 
 Defined results: texts with equal lower-case words are copies. A text with one to four words has one shingle, all of
 its words. A null text, or one without words, is like no other document, and so is a row with a null doc_id: its
@@ -41,8 +43,10 @@ COORDINATES = BANDS * ROWS
 SKETCH = -(-COORDINATES // 16)
 #: Coordinates in which the four-bit sketches of a candidate pair may differ.
 DIFFERING = 42
+#: Members beyond which a bucket is compared inside tasks, and members of a block there.
+LARGE, BLOCK = 16, 256
 #: Regions worked on at once in a worker; a longer document is worked on alone.
-CHUNK = 100_000
+CHUNK = 50_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -168,6 +172,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(made.reshape(-1)))
                 words = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * SKETCH), pa.array(short.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), count, lists, words], names=["doc_id", "k1", "k2", "n", "bands", "sketch"])
+            pa.default_memory_pool().release_unused()  # workers are kept from task to task
 
     hashed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("w")).where(F.size("w") > 0)
     return hashed.select("doc_id", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), "w").mapInArrow(work, "doc_id long, k1 long, k2 long, n long, bands array<long>, sketch array<long>")
@@ -182,10 +187,60 @@ def shingled(docs: DataFrame) -> DataFrame:
                 doc, region = regions(words, ends)
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b - a))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array((region >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["node", "regions"])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("node"), word_hashes(F.col("text")).alias("w")).mapInArrow(work, "node long, regions array<int>")
 
 
+def forest_of_links(nodes: np.ndarray, sizes: np.ndarray, values: np.ndarray, side: np.ndarray, similarity: float) -> np.ndarray:
+    """(node, smaller node) edges that span the components of the links among sets. `values` holds the sets end to end; where both sides occur, only pairs across them are links."""
+    n = len(nodes)
+    owner = np.repeat(np.arange(n), sizes)
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        lo, hi = np.searchsorted(column, (a, a + 2048))
+        part = np.zeros((n, 2048), np.float32)
+        part[owner[lo:hi], column[lo:hi] - a] = 1
+        both += part @ part.T
+    near = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+    np.fill_diagonal(near, False)
+    if side.any() and not side.all():
+        near &= side[:, None] != side[None, :]
+    label, top = nodes.copy(), np.iinfo(np.int64).max
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], top).min(axis=1, initial=top))
+        if (new == label).all():
+            break
+        label = new
+    moved = label != nodes
+    return np.stack([nodes[moved], label[moved]], 1)
+
+
+def links_inside(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that span the components of each bucket of `large` (bucket, node, size): each pair of blocks of a bucket is one task's work."""
+    dealt = large.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    spread = dealt.select("bucket", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = spread.select("bucket", "node", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+
+    def task(key: tuple, rows: pa.Table) -> pa.Table:
+        lists = rows["regions"].combine_chunks()
+        sizes, values = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+        lo, hi = key[1].as_py(), key[2].as_py()
+        side = rows["mine"].to_numpy() == hi if lo != hi else np.zeros(len(sizes), bool)
+        edges = forest_of_links(rows["node"].to_numpy(), sizes, values, side, similarity)
+        del rows, lists, values
+        pa.default_memory_pool().release_unused()
+        return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
+
+    return keyed.join(sets, "node").groupBy("bucket", "lo", "hi").applyInArrow(task, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of `docs`: doc_id, copy_of (the smallest id with the same words), component_id (the smallest id of its class) and kept (it is that document)."""
     rows = saved(signed(docs))
@@ -211,6 +266,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         if left.isEmpty():
             drop(left, members, sets, wanted)
             break
+        if pivots == 16:  # the second round: large buckets are settled at once
+            counts = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE)
+            large = saved(left.select("bucket", "node").join(counts, "bucket"))
+            settled = saved(links_inside(large, sets, similarity))
+            rest = saved(left.drop("comp").join(large.select("bucket").distinct(), "bucket", "left_anti"))
+            joined = components(forest.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(settled))
+            drop(forest, members, left, large, settled)
+            forest, members, pivots = joined, rest, 17
+            continue
         weight = left.select("comp", "node").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
         salted = left.join(weight, "comp").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)))
         rank = F.struct("central", F.col("node")) if pivots == 1 else F.struct(-F.col("weight"), F.col("central"), F.col("node"))
