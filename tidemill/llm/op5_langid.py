@@ -31,8 +31,8 @@ TRAIN_DOCS = 1500
 #: Hash bits of n-gram weights; words of a training segment; steps of a fit.
 BITS, SEGMENT, STEPS = 18, 64, 30
 LEXICON_COUNT = 5
-#: Texts whose chains run side by side.
-WIDE = 512
+#: Texts whose chains run side by side, and texts that a worker holds the figures of at once.
+WIDE, SLICE = 512, 1024
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -210,8 +210,8 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFram
         names = np.array([*m.langs, UNKNOWN], dtype=object)
         for batch in batches:
             lists = batch.column(len(keep))
-            for a in range(0, len(batch), 2048):
-                part = lists.slice(a, 2048)
+            for a in range(0, len(batch), SLICE):
+                part = lists.slice(a, SLICE)
                 sizes = part.value_lengths().to_numpy().astype(np.int64)
                 best, score = np.full(len(part), len(m.langs)), np.zeros(len(part))
                 if sizes.sum():
@@ -222,7 +222,8 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFram
                     ends = np.cumsum(sizes)[has]
                     mean = np.add.reduceat(marginal, ends - sizes[has], axis=0) / sizes[has][:, None]
                     best[has], score[has] = mean.argmax(axis=1), np.clip(mean.max(axis=1), 0, 1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, 2048) for k in range(len(keep))), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, "__lang", "__score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, SLICE) for k in range(len(keep))), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, "__lang", "__score"])
+            pa.default_memory_pool().release_unused()  # workers are kept from task to task
 
     return docs.select(*kept, words_of(F.col("text")).alias("__words")).mapInArrow(work, schema)
 
