@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-UNITS, PAIRS = 500_000, 1_000_000
+UNITS, PAIRS = 700_000, 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of pieces in a model file.
 _NORMAL, _UNKNOWN, _BYTE, _OWN = 1, 2, 6, 4
 #: First id of characters that no piece spells: such a character's id is this plus its code point.
 _LONE = 1 << 24
+#: Hash bits that the table of possible keys leaves out.
+_BITS = np.uint64(44)
 _workers: dict[str, Model] = {}
 
 
@@ -60,6 +62,11 @@ class Model:
         self.kinds = np.array([p.type for p in spec.pieces])
         self.scores = np.array([p.score for p in spec.pieces])
         self.bytes = {int(p[3:-1], 16): k for k, p in enumerate(self.pieces) if self.kinds[k] == _BYTE}
+        self.names = list(self.pieces)
+        for b, k in self.bytes.items():
+            self.names[k] = chr(b) if b < 128 else ""
+        self.high = np.zeros(len(self.pieces), bool)
+        self.high[[k for b, k in self.bytes.items() if b >= 128]] = True
         self.unknown = int(np.nonzero(self.kinds == _UNKNOWN)[0][0])
         usable = np.nonzero(np.isin(self.kinds, (_NORMAL, _OWN)))[0]
         self.rank = {self.pieces[k]: (-self.scores[k], int(k)) for k in usable}
@@ -69,18 +76,29 @@ class Model:
         hashes = np.array([self._hash(self.pieces[k]) for k in usable], np.uint64)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], usable[order].astype(np.int64)
+        self.bits = np.zeros(1 << (64 - int(_BITS)), bool)  # most probes miss, and are seen to without a search
+        self.bits[self.keys >> _BITS] = True
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two pieces share a hash")
         self.least = float(self.scores[usable].min()) - 10 if len(usable) else -10.0
-        inner = set("".join(self.pieces[k] for k in usable if len(self.pieces[k]) > 1))
-        crossed = any(re.search(f"[^{MARK}]{MARK}", self.pieces[k]) for k in usable)
-        alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inner)
-        rest = rf"[^{MARK}{alone}]+"
-        self.cut = re.compile("(?s:.+)" if crossed else rf"{MARK}*{rest}|{MARK}+" + (f"|[{alone}]" if alone else ""))
+        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+        self.cut = re.compile(self._units())
         self.pairs: dict[int, bool] = {}
         self.table, self.truth = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20, bool)
         self.forget()
 
+    def _units(self) -> str:
+        """A pattern of units: no piece has one of its cuts inside. A unit begins at word marks, or at a mark of punctuation that no piece has after another kind of character."""
+        beside = {(x, y) for p in self.rank for x, y in zip(p, p[1:])}
+        if any(y == MARK and x != MARK for x, y in beside):
+            return "(?s:.+)"
+        marks = set("\n\t\r!\"#$%&()*+,./:;<=>?@[]^_`{|}~-")
+        while over := {y for x, y in beside if y in marks and x not in marks and x != MARK}:
+            marks -= over
+        own = "".join(map(re.escape, sorted(marks)))
+        rest = f"[^{MARK}{own}]"
+        return f"{MARK}*{rest}+|{MARK}*[{own}]+{rest}*|{MARK}+" if own else f"{MARK}*{rest}+|{MARK}+"
+
     def forget(self) -> None:
         self.seen: dict[str, int] = {}
         self.flat, self.used, self.n = np.zeros(1 << 20, np.int32), 0, 0
@@ -128,8 +146,8 @@ class Model:
             out[at] = self.pairs.get(int(key[at])) if int(key[at]) in self.pairs else self._merged(self._text(int(left[at])) + self._text(int(right[at]))) == [self._text(int(left[at])), self._text(int(right[at]))]
         return out
 
-    def viterbi(self, units: list[str]) -> list[list[int]]:
-        """The ids of units of one length, all at once; lone characters have ids from _LONE."""
+    def viterbi(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units of one length, one unit after another, and how many each has; lone characters have ids from _LONE."""
         n, count = len(units[0]), len(units)
         codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(count, n).astype(np.uint64)
         hashes = np.zeros((count, n + 1), np.uint64)
@@ -141,40 +159,42 @@ class Model:
         best = np.full((count, n + 1), -np.inf)
         best[:, 0] = 0
         last = np.full((count, n + 1), -1, np.int64)
+        reached = best == 0
         for j in range(1, n + 1):
             for size in range(1, min(j, self.longest) + 1):
                 i = j - size
                 probe = _mix(hashes[:, j] - hashes[:, i] * powers[size] + np.uint64(size))
-                at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
-                hit = self.keys[at] == probe
-                piece = self.ids[at]
-                if size == 1 and not hit.all():
-                    piece = np.where(hit, piece, _LONE + codes[:, i].astype(np.int64))
-                    worth = np.where(hit, self.scores[self.ids[at]], self.least)
-                    hit[:] = True
-                else:
-                    worth = self.scores[piece]
-                who = np.nonzero(hit & np.isfinite(best[:, i]))[0]
+                who = np.nonzero(reached[:, i] & (self.bits[probe >> _BITS] | (size == 1)))[0]
                 if not len(who):
                     continue
+                at = np.minimum(np.searchsorted(self.keys, probe[who]), len(self.keys) - 1)
+                hit = self.keys[at] == probe[who]
+                piece = self.ids[at]
+                if size > 1:
+                    who, piece = who[hit], piece[hit]
+                    worth = self.scores[piece]
+                else:
+                    worth = np.where(hit, self.scores[piece], self.least)
+                    piece = np.where(hit, piece, _LONE + codes[who, i].astype(np.int64))
                 if self.bpe:
-                    if i:
-                        who = who[self._agree(last[who, i], piece[who])]
-                    worth = np.zeros(count)
-                total = best[who, i] + worth[who]
+                    if i and len(who):
+                        fits = self._agree(last[who, i], piece)
+                        who, piece = who[fits], piece[fits]
+                    worth = np.zeros(len(who))
+                total = best[who, i] + worth
                 better = total > best[who, j]
-                who, total = who[better], total[better]
-                best[who, j], last[who, j] = total, piece[who]
-        sizes = np.ones(len(self.pieces), np.int64)
-        sizes[:] = [len(p) for p in self.pieces]
-        out: list[list[int]] = [[] for _ in units]
-        at = np.full(count, n)
-        while (live := np.nonzero(at > 0)[0]).size:
+                who = who[better]
+                best[who, j], last[who, j], reached[who, j] = total[better], piece[better], True
+        who, what, at = [], [], np.full(count, n)
+        live = np.arange(count)
+        while live.size:  # backpointers, from the ends
             piece = last[live, at[live]]
-            for k, p in zip(live.tolist(), piece.tolist()):
-                out[k].append(p)
-            at[live] -= np.where(piece >= _LONE, 1, sizes[np.minimum(piece, len(sizes) - 1)])
-        return [x[::-1] for x in out]
+            who.append(live)
+            what.append(piece)
+            at[live] -= np.where(piece >= _LONE, 1, self.lengths[np.minimum(piece, len(self.lengths) - 1)])
+            live = live[at[live] > 0]
+        owner, ids = np.concatenate(who[::-1]), np.concatenate(what[::-1])
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=count)
 
     def _final(self, ids: list[int]) -> list[int]:
         """Lone characters as byte pieces, or as one unknown piece a run where the model has no bytes."""
@@ -192,23 +212,27 @@ class Model:
         by: dict[int, list[str]] = {}
         for u in units:
             by.setdefault(len(u), []).append(u)
-        names, ids = [], []
         for length in sorted(by):
             step = max(1, 2_000_000 // (length + 1))
             for a in range(0, len(by[length]), step):
-                names += by[length][a : a + step]
-                ids += [self._final(x) if x and max(x) >= _LONE else x for x in self.viterbi(by[length][a : a + step])]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, k = int(sizes.sum()), self.n
+                part = by[length][a : a + step]
+                ids, sizes = self.viterbi(part)
+                if (ids >= _LONE).any():
+                    each = [self._final(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+                    ids, sizes = np.fromiter(chain.from_iterable(each), np.int64), np.fromiter(map(len, each), np.int64, len(each))
+                self._keep(part, ids, sizes)
+
+    def _keep(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        total, k = len(ids), self.n
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        while k + len(ids) > len(self.starts):
+        while k + len(units) > len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
-        self.starts[k : k + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[k : k + len(ids)] = sizes
-        self.used, self.n = self.used + total, k + len(ids)
-        self.seen.update((u, k + j) for j, u in enumerate(names))
+        self.flat[self.used : self.used + total] = ids
+        self.starts[k : k + len(units)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[k : k + len(units)] = sizes
+        self.used, self.n = self.used + total, k + len(units)
+        self.seen.update(zip(units, range(k, k + len(units))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -230,12 +254,11 @@ class Model:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, runs of bytes read as UTF-8, word marks as spaces, without the added prefix."""
-        kinds = self.kinds[ids]
-        names = self.pieces
-        if not (kinds == _BYTE).any():
+        names = self.names
+        if not self.high[ids].any():
             text = "".join([names[k] for k in ids.tolist()])
         else:
-            parts, run = [], bytearray()
+            kinds, names, parts, run = self.kinds[ids], self.pieces, [], bytearray()
             for k, kind in zip(ids.tolist(), kinds.tolist()):
                 if kind == _BYTE:
                     run.append(int(names[k][3:-1], 16))
