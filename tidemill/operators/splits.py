@@ -41,7 +41,7 @@ def cpcv_paths(n: int, k: int) -> tuple[list[tuple[int, ...]], list[list[int]]]:
 
 def paths_table(spark, n: int, k: int) -> DataFrame:
     _, paths = cpcv_paths(n, k)
-    return spark.createDataFrame([(p, g, s) for p, path in enumerate(paths) for g, s in enumerate(path)], "path int, grp int, split int")
+    return spark.createDataFrame([(p, g, s) for p, path in enumerate(paths) for g, s in enumerate(path)], "path long, grp long, split long")
 
 
 def _roles(cut: DataFrame, ranges: DataFrame, tests: DataFrame, embargo: float) -> DataFrame:

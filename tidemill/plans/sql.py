@@ -86,7 +86,7 @@ mb AS (SELECT year, CASE WHEN year <> 1997 THEN round(a / 20000, 6) END AS infl,
   round(s, 6) AS "rGDP", round(a, 6) AS "rGDP_pc", round(s * 2, 6) AS "M2", round(h, 6) AS "HPI", round(a + l, 6) AS "CPI" FROM yr),
 m0 AS (SELECT *, ltrate - cbrate AS yield_spread FROM mb),
 md AS (SELECT *, """ + ", ".join(f'"{c}" / nullif(lag("{c}") OVER (ORDER BY year), 0) - 1 AS "{c}_growth"' for c in ("rGDP", "rGDP_pc", "M2", "HPI", "CPI")) + """,
-  CASE WHEN yield_spread < 0 THEN 1.0 ELSE 0.0 END AS yc_inverted, """ + ", ".join(f"{c} - {roll('avg', c, 5, 2, 'ORDER BY year')} AS {c}_dev5y" for c in ("infl", "unemp", "cbrate", "ltrate", "yield_spread")) + """,
+  CASE WHEN yield_spread < 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS yc_inverted, """ + ", ".join(f"{c} - {roll('avg', c, 5, 2, 'ORDER BY year')} AS {c}_dev5y" for c in ("infl", "unemp", "cbrate", "ltrate", "yield_spread")) + """,
   cbrate - infl AS real_rate FROM m0)"""
 SAMPLES = """sm AS (SELECT date, ticker, row_number() OVER (ORDER BY date, ticker) - 1 AS row_id, count(*) OVER () AS n FROM sx),
 en AS (SELECT date, coalesce(lead(date, 21) OVER (ORDER BY date), max(date) OVER ()) AS t1 FROM cal),
