@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 1000
 #: Hash bits of n-gram weights; words of a training segment; steps of a fit.
 BITS, SEGMENT, STEPS = 18, 64, 30
 LEXICON_COUNT = 5
