@@ -89,3 +89,48 @@ def test_masked_keeps_columns(spark):
     out = {r.doc_id: r for r in P.sanitised(frame).collect()}
     assert out[1].text == "[EMAIL] and [PHONE]!" and out[1].n_chars == len(out[1].text) and out[2].text is None
     assert P.sanitised(frame).columns == frame.columns
+
+
+def told_by_whole_texts(texts):
+    """(entity, term) pairs that disclose, from whole texts and without a least count."""
+    different = sorted({t or "" for t in texts})
+    with_entity, both, anywhere = defaultdict(set), defaultdict(set), defaultdict(set)
+    for k, t in enumerate(different):
+        found = base(t)
+        for m in regex.finditer(r"\p{L}{3,}", t):
+            anywhere[m.group().lower()].add(k)
+        for kind, _, _, v in found:
+            e = f"{list(PATTERNS).index(kind)}:{v.lower()}"
+            with_entity[e].add(k)
+            for m in regex.finditer(r"\p{L}{3,}", t):
+                if not any(c < m.end() and m.start() < d for _, c, d, _ in found):
+                    both[e, m.group().lower()].add(k)
+    p = {e: len(s) / len(different) for e, s in with_entity.items()}
+    return {(e, w) for (e, w), s in both.items() if p[e] < 1 and math.log2((len(s) + p[e]) / (len(anywhere[w]) + 1) / p[e]) >= 0.8 * math.log2(1 / p[e])}
+
+
+def mixed_texts():
+    filler = "the office number {} about nothing much, ask them, and the desk is open for all who come by"
+    far = " ".join([filler.format(1)] * 3)
+    texts = [filler.format(k) for k in range(60)]
+    texts += [f"Élodie-Zwickau wrote. {far} Reach her at sole@one.example.org or {far} or 10.1.2.3. ZWICKAU again", f"{far} NETTLEWOOD signs", f"{far} pair@two.example.org {far} Nettlewood", f"{far} nettlewood {far} pair@two.example.org x\0marbury\0pair@two.example.org"]
+    return [*texts, f"quill éboss@three.example.org {far} 4111 1111 1111 1111 quartz", texts[60], None, ""]
+
+
+def test_rare_entities_and_whole_texts(spark):
+    texts = mixed_texts()
+    frame = spark.createDataFrame([(k % 66, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.entity, r.term) for r in P.disclosures(frame)[1].collect()}
+    assert got == told_by_whole_texts(texts)
+    assert {("0:sole@one.example.org", "zwickau"), ("1:10.1.2.3", "zwickau"), ("0:pair@two.example.org", "nettlewood"), ("2:4111 1111 1111 1111", "quartz")} <= got
+    terms = {w for _, w in got}
+    for r in P.digest(frame).collect():
+        for t in [t for k, t in enumerate(texts) if k % 66 == r.doc_id]:
+            mails = [(a, b) for kind, a, b, _ in base(t) if kind == "email"]
+            want = [f"term:{m.start()}:{m.end()}" for m in regex.finditer(r"\p{L}{3,}", t or "") if m.group().lower() in terms and not any(a < m.end() and m.start() < b for a, b in mails)]
+            if [x for x in r.spans.split(",") if x[:4] == "term"] == want and r.n_term == len(want):
+                break
+        else:
+            raise AssertionError(r)
+    clean = [r.text for r in P.sanitised(frame).collect() if r.text]
+    assert not any(w in t.lower() for t in clean for w in ("zwickau", "nettlewood", "quartz", "marbury")) and texts[0] in clean

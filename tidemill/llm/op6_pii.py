@@ -1,22 +1,26 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms around them.
 
 Four kinds of protected entities are found by pattern: e-mail addresses, IP addresses, card numbers and phone numbers.
-The corpus then tells which words give an entity away. A term is a word of `MIN_LETTERS` letters or more within
-`REACH` code points of an entity. With document frequencies over all different texts, n(e) of the entity, n(t) of the
-term anywhere and n(t, e) of the two together, the term discloses
+The corpus then tells which words give an entity away. A term is a word of `MIN_LETTERS` letters or more; words that
+touch an e-mail address are no terms of their text. With document frequencies over all N different texts, n(e) of the
+entity, n(t) of the term anywhere and n(t, e) of the texts that hold both, the term discloses
 
-    PMI(t; e) / IC(e) = log2(N n(t, e) / (n(t) n(e))) / log2(N / n(e))
+    PMI(t; e) / IC(e) = log2(P(e | t) / P(e)) / log2(1 / P(e)),  P(e) = n(e) / N,  P(e | t) = (n(t, e) + P(e)) / (n(t) + 1)
 
-of the entity's information. At `GENERALISE` or more, with n(t, e) of at least `SUPPORT`, the term is replaced by a
-general one; at `REMOVE` or more it is taken out.
+of the entity's information. P(e | t) is smoothed by one text that tells nothing; there is no least count, so an entity
+of one text is disclosed by a term that few other texts hold. At `GENERALISE` or more the term is replaced by a general
+one; at `REMOVE` or more, for any entity, it is taken out. Each occurrence of a disclosing term in any text is a span,
+unless it touches an e-mail address. An entity in all texts has no information to disclose.
 
 Defined results: a null or empty text has no spans. Equal texts get equal spans, so ties and repeated rows agree; a
 null doc_id is matched as such. An empty table gives an empty result. Only doc_id and text are read for spans, and
 sanitised() changes the text alone, so extra columns cannot clash. All offsets are code points, the end exclusive.
 
-Scale: patterns run in one narrow stage. Only rows around entities are shuffled to count pairs; the document frequency
-of terms is counted after a semi-join with the terms that occur often enough beside one entity, so no word count of
-the corpus is shuffled. That semi-join is broadcast only if the stored table of terms is below Spark's threshold.
+Scale: patterns run in one narrow stage. The different words of texts with entities are stored once. A term occurs in
+at least the texts with entities that hold it, and n(t, e) <= n(e), so n(t) + 1 <= (n(e) + P(e)) P(e) ** (GENERALISE - 1)
+for every pair that passes: that bound drops common words, exactly, before pairs are formed. The document frequency of what
+is left is counted after a semi-join, so no word count of the corpus is shuffled. Joins are broadcast only below
+Spark's threshold.
 """
 
 from __future__ import annotations
@@ -33,12 +37,12 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-REACH = 64
 MIN_LETTERS = 3
-SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.98
 _WORD = r"\p{L}{%d,}" % MIN_LETTERS
+#: A word that does not touch the sign that stands for an e-mail address.
+_APART = r"(?<![\p{L}\x00])\p{L}{%d,}+(?!\x00)" % MIN_LETTERS
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -90,25 +94,10 @@ def entities(text: Column) -> Column:
     )
 
 
-def around(text: Column, found: Column) -> Column:
-    """The terms within REACH of each entity: an array of (entity, term, start, end). Words cut by the reach or inside an entity are none."""
-
-    def near(e: Column) -> Column:
-        low = F.greatest(e["start"] - REACH, F.lit(0))
-
-        def words(piece: Column) -> Column:
-            cut = F.length(piece)
-            last = F.length(text)
-            whole = lambda x: ((x["start"] > 0) | (low == 0)) & ((x["end"] < cut) | (low + cut == last))
-            free = lambda x: ~F.exists(found, lambda f: (f["start"] < low + x["end"]) & (low + x["start"] < f["end"]))
-            return F.transform(F.filter(located(piece, _WORD), lambda x: whole(x) & free(x)), lambda x: F.struct(
-                F.concat(e["kind"].cast("string"), F.lit(":"), F.lower(e["value"])).alias("entity"), F.lower(x["value"]).alias("term"),
-                (low + x["start"]).alias("start"), (low + x["end"]).alias("end"),
-            ))
-
-        return let(F.substring(text, low + 1, e["end"] + REACH - low), words)
-
-    return F.flatten(F.transform(found, near))
+def terms_of(text: Column) -> Column:
+    """The different terms of a text. Of the entities only e-mail addresses have letters, so only they are taken out."""
+    bare = F.when(text.contains("@"), F.regexp_replace(F.translate(text, "\0", " "), EMAIL, "\0")).otherwise(F.translate(text, "\0", " "))
+    return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(_APART), F.lit(0)), F.lower))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -116,43 +105,49 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.struct(F.xxhash64(text).alias("a"), F.length(text).alias("b")).alias("text_key"))
 
 
-def disclosures(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(occurrences beside entities, disclosing pairs (entity, term, ratio)), both over all of `docs`, and the stored table behind the first."""
+def disclosures(docs: DataFrame, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(text_key and term for all texts that hold a term in question, disclosing pairs (entity, term, ratio), texts with entities), over all of `docs`."""
     keyed = _keyed(docs)
-    with_any = keyed.select("doc_id", "text_key", "text", entities(F.col("text")).alias("found")).where(F.size("found") > 0)
-    beside = saved(with_any.select("doc_id", "text_key", F.explode(F.concat(
-        around(F.col("text"), F.col("found")),
-        F.transform(F.array_distinct(F.transform("found", lambda e: F.concat(e["kind"].cast("string"), F.lit(":"), F.lower(e["value"])))), lambda e: F.struct(e.alias("entity"), F.lit(None).cast("string").alias("term"), F.lit(0).alias("start"), F.lit(0).alias("end"))),
-    )).alias("x")).select("doc_id", "text_key", "x.*"))
-    both = beside.select("text_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    n_entity = both.where(F.col("term").isNull()).select("entity", F.col("n_both").alias("n_entity"))
-    n_beside = beside.where(F.col("term").isNotNull()).select("text_key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
+    with_any = keyed.select("text_key", "text", entities(F.col("text")).alias("found")).where(F.size("found") > 0)
+    named = F.array_distinct(F.transform("found", lambda e: F.concat(e["kind"].cast("string"), F.lit(":"), F.lower(e["value"]))))
+    held = saved(with_any.select("text_key", named.alias("entities"), terms_of(F.col("text")).alias("terms")).dropDuplicates(["text_key"]))
     n_texts = float(keyed.select("text_key").distinct().count())
-    bits = lambda x: F.log(x) / F.log(F.lit(2.0))
-    ic = bits(n_texts / F.col("n_entity"))
-    share = lambda n: bits(n_texts * F.col("n_both") / (F.col(n) * F.col("n_entity"))) / ic
-    often = both.where(F.col("term").isNotNull() & (F.col("n_both") >= support)).join(n_entity, "entity").where(n_texts > F.col("n_entity"))
-    # a term occurs in at least the texts where it stands beside an entity, so this bound drops common words and no pair that passes below
-    pairs = saved(often.join(n_beside, "term").where(share("n_beside") >= generalise).drop("n_beside"))
-    words = keyed.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    n_term = words.join(saved(pairs.select("term").distinct()), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    out = pairs.join(n_term, "term").select("entity", "term", share("n_term").alias("ratio")).where(F.col("ratio") >= generalise)
-    return beside.where(F.col("term").isNotNull()), out, beside
+    rate = F.col("n_entity") / n_texts
+    share = lambda n: 1 - F.log((F.col("n_both") + rate) / (F.col(n) + 1)) / F.log(rate)
+    slack = 1e-9  # the bounds below are for exact numbers
+    who = held.select("text_key", F.explode("entities").alias("entity"))
+    n_entity = who.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    most = (F.col("n_entity") + rate) * F.pow(rate, F.lit(generalise - 1)) * (1 + slack) - 1
+    who = who.join(n_entity.where(F.col("n_entity") < n_texts), "entity").withColumn("most", most)
+    what = held.select("text_key", F.explode("terms").alias("term"))
+    n_beside = what.groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
+    rare = what.join(n_beside, "term").join(who.groupBy("text_key").agg(F.max("most").alias("widest")), "text_key").where("n_beside <= widest")
+    both = rare.join(who, "text_key").where("n_beside <= most").groupBy("entity", "term", "n_entity", "n_beside").agg(F.count(F.lit(1)).alias("n_both"))
+    pairs = saved(both.where(share("n_beside") >= generalise - slack).drop("n_beside"))
+    words = keyed.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))).alias("word")).select("text_key", F.lower("word").alias("term"))
+    hits = saved(words.join(saved(pairs.select("term").distinct()), "term", "left_semi").distinct())
+    n_term = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    return hits, pairs.join(n_term, "term").select("entity", "term", share("n_term").alias("ratio")).where(F.col("ratio") >= generalise), held
 
 
 def spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id (or the columns `keep`), text, base and terms: arrays of (kind, start, end); terms also says which are removed."""
-    beside, told, _ = disclosures(docs)
-    marked = beside.join(told, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("ratio").alias("ratio"))
-    by = marked.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end", (F.col("ratio") >= REMOVE).alias("gone")))).alias("__terms"))
+    hits, told, _ = disclosures(docs)
+    worst = told.groupBy("term").agg((F.max("ratio") >= REMOVE).alias("gone"))
+    by = hits.join(worst, "term").groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("__told"))
     keys = keep or ["doc_id"]
     text = F.coalesce(F.col("text"), F.lit(""))
-    full = docs.select(*keys, *([] if "doc_id" in keys else ["doc_id"]), text.alias("__text"), F.struct(F.xxhash64(text).alias("a"), F.length(text).alias("b")).alias("__key"), entities(text).alias("__found"))
-    right = by.withColumnsRenamed({"doc_id": "__doc", "text_key": "__rkey"})
-    joined = full.join(right, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__rkey")), "left")
+    full = docs.select(*keys, text.alias("__text"), F.struct(F.xxhash64(text).alias("a"), F.length(text).alias("b")).alias("__key"), entities(text).alias("__found"))
+    joined = full.join(by.withColumnRenamed("text_key", "__rkey"), F.col("__key") == F.col("__rkey"), "left")
     base = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+    def marked(mails: Column) -> Column:
+        looked = F.transform(located(F.col("__text"), _WORD), lambda x: F.struct(F.lit(4).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.try_element_at(F.col("__told"), F.lower(x["value"])).alias("gone")))
+        return F.filter(F.filter(looked, lambda x: x["gone"].isNotNull()), lambda x: ~F.exists(mails, lambda f: (f["start"] < x["end"]) & (x["start"] < f["end"])))
+
+    terms = F.when(F.col("__told").isNotNull(), let(F.filter("__found", lambda f: f["kind"] == 0), marked))
     none = F.from_json(F.lit("[]"), "array<struct<kind:int,start:int,end:int,gone:boolean>>")
-    return joined.select(*keys, "__text", base.alias("__base"), F.coalesce("__terms", none).alias("__terms"))
+    return joined.select(*keys, "__text", base.alias("__base"), F.coalesce(terms, none).alias("__terms"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
