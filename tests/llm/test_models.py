@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemill.llm import op1_sentencepiece as S
 from tidemill.llm import op4_ego as E
 from tidemill.llm import op5_langid as L
@@ -195,3 +197,13 @@ def test_toxicity(spark):
     assert [got[k].predicted for k in (900, 901, 902, None, 903, 904)] == [0, 0, 0, 1, 1, 1]
     assert T.digest(frame.limit(0), marks).count() == 0
     assert {r.score for r in T.digest(frame, marks.limit(0)).collect()} == {0.0}
+
+
+def test_spaced_runs_with_marks(spark):
+    runs = ["i d i o t", "i d i o t.", "i d i o t,", "i d i o t!", "(i d i o t)", '"i d i o t"', "\u201ci d i o t\u201d", "i. d. i. o. t.", "i  d\ti\n\no  t", "*i* d i 0 t?!", "... i d i o t -"]
+    texts = [x for run in runs for x in (run, f"such that {run}", f"{run} said he", f"such that {run} said he")]
+    found = [r.s for r in spark.createDataFrame([(t,) for t in texts], "text string").select(T.spaced_of(F.col("text")).alias("s")).collect()]
+    r = T.Restorer(small_model(), frozenset(["idiot", "loser"]))
+    assert [[t, x] for t, x in zip(texts, found) if len(x) != 1 or "idiot" not in r.words(x[0])] == []
+    rows = spark.createDataFrame([("a b c",), ("so a b is",), ("ab c d",), ("",), (None,), ("1 2 ab 3 4",)], "text string").select(T.spaced_of(F.col("text")).alias("s")).collect()
+    assert [r.s for r in rows] == [["a b c"], [], [], [], [], []]

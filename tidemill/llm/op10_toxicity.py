@@ -58,6 +58,7 @@ for _k in range(26):
     _BYTE[ord("a") + _k] = _BYTE[ord("A") + _k] = _k + 1
 
 _RUN = re.compile(r"([^\W\d_])\1\1")
+_BLANKS = re.compile(f"[{SPACE}]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MAIL = re.compile(r"[^@\s]+@[^@\s]+\.[^@\s]+\Z")
 _ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$!")
@@ -69,8 +70,10 @@ def tokens_of(text: Column) -> Column:
 
 
 def spaced_of(text: Column) -> Column:
-    """Runs of four or more single characters with a space between them."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?<![^{SPACE}])[^{SPACE}](?:\x20[^{SPACE}]){{3,}}+(?![^{SPACE}])"), F.lit(0))
+    """Runs of three or more white-space tokens with one letter or digit at most and any marks around it."""
+    mark = rf"[^\p{{L}}\p{{N}}{SPACE}]*+"
+    one = rf"(?=[^{SPACE}]){mark}(?:[\p{{L}}\p{{N}}]{mark})?+(?![^{SPACE}])"
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?<![^{SPACE}]){one}(?:[{SPACE}]++{one}){{2,}}+"), F.lit(0))
 
 
 def symbol(letter: str) -> int:
@@ -134,7 +137,7 @@ class Restorer:
 
     def words(self, token: str) -> tuple[str, ...]:
         """The words that a token or spaced-out run stands for; its plain letters if no lattice is needed."""
-        w = token.lower().strip(_ENDS)
+        w = _BLANKS.sub(" ", token).lower().strip(_ENDS + " ")
         if not w:
             return ()
         if w.isalpha() and not _RUN.search(w):
