@@ -207,3 +207,13 @@ def test_spaced_runs_with_marks(spark):
     assert [[t, x] for t, x in zip(texts, found) if len(x) != 1 or "idiot" not in r.words(x[0])] == []
     rows = spark.createDataFrame([("a b c",), ("so a b is",), ("ab c d",), ("",), (None,), ("1 2 ab 3 4",)], "text string").select(T.spaced_of(F.col("text")).alias("s")).collect()
     assert [r.s for r in rows] == [["a b c"], [], [], [], [], []]
+
+
+def test_doubled_letters(spark):
+    r = T.Restorer(small_model(), frozenset(["idiot", "loser", "clown", "stupid", "worthless"]))
+    for token, word in {"stuupid": "stupid", "iidiot": "idiot", "cclown": "clown", "LOSERR!": "loser", "wworthless": "worthless"}.items():
+        assert word in r.words(token)
+    assert "hello" in r.words("hello") and "letters" in r.words("letters") and r.words("patio") == ("patio",)
+    scorer = T.Scorer({"=stupid": 5.0}, {}, -3.0, small_model())
+    rows = spark.createDataFrame([(1, "a stuupid patio"), (2, "a hello patio")], "doc_id long, text string")
+    assert {r.doc_id: r.score > 0.5 for r in T.scored(rows, scorer).collect()} == {1: True, 2: False}

@@ -3,8 +3,8 @@
 A token that may hide a word (digits or marks between letters, letters repeated, letters spaced out) becomes a lattice:
 each character may stand for itself, for the letters that it resembles, or for nothing (marks, repetitions). A Viterbi
 search finds the letters with the best product of channel and character-language-model probabilities; the model is a
-trigram model whose counts come from every document. A token of letters alone has a lattice with one path, so it is its
-own restoration.
+trigram model whose counts come from every document. A token of letters alone without a letter after itself has a
+lattice with one path, so it is its own restoration.
 
 The restored words are then scored by logistic regression over words and their prefixes of four to six letters; a
 document is at least as toxic as the lower end of its surest feature's interval, where that is `SURE` or more. The
@@ -57,7 +57,7 @@ _BYTE[:128] = -1
 for _k in range(26):
     _BYTE[ord("a") + _k] = _BYTE[ord("A") + _k] = _k + 1
 
-_RUN = re.compile(r"([^\W\d_])\1\1")
+_RUN = re.compile(r"([^\W\d_])\1")
 _BLANKS = re.compile(f"[{SPACE}]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MAIL = re.compile(r"[^@\s]+@[^@\s]+\.[^@\s]+\Z")
