@@ -18,9 +18,9 @@ sanitised() changes the text alone, so extra columns cannot clash. All offsets a
 
 Scale: patterns run in one narrow stage. The different words of texts with entities are stored once. A term occurs in
 at least the texts with entities that hold it, and n(t, e) <= n(e), so n(t) + 1 <= (n(e) + P(e)) P(e) ** (GENERALISE - 1)
-for every pair that passes: that bound drops common words, exactly, before pairs are formed. The document frequency of what
-is left is counted after a semi-join, so no word count of the corpus is shuffled. Joins are broadcast only below
-Spark's threshold.
+for every pair that passes: that bound drops common words, exactly, before pairs are formed. The words of the corpus
+pass a bitmap of hashes of the terms in question (`SIEVE` longs, broadcast) before they are shuffled to the exact
+join. Marking looks for the disclosing words of a text only. Other joins are broadcast below Spark's threshold.
 """
 
 from __future__ import annotations
@@ -41,12 +41,14 @@ MIN_LETTERS = 3
 GENERALISE = 0.8
 REMOVE = 0.98
 _WORD = r"\p{L}{%d,}" % MIN_LETTERS
+#: Longs of the bitmap of term hashes: 2 ** 17 are 8 million bits.
+SIEVE = 1 << 17
 #: A word that does not touch the sign that stands for an e-mail address.
 _APART = r"(?<![\p{L}\x00])\p{L}{%d,}+(?!\x00)" % MIN_LETTERS
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches: an array of (start, end, value)."""
 
     def placed(hits: Column) -> Column:
@@ -106,7 +108,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(text_key and term for all texts that hold a term in question, disclosing pairs (entity, term, ratio), texts with entities), over all of `docs`."""
+    """(text_key and word for all texts that hold a term in question, disclosing pairs (entity, term, ratio), texts with entities), over all of `docs`."""
     keyed = _keyed(docs)
     with_any = keyed.select("text_key", "text", entities(F.col("text")).alias("found")).where(F.size("found") > 0)
     named = F.array_distinct(F.transform("found", lambda e: F.concat(e["kind"].cast("string"), F.lit(":"), F.lower(e["value"]))))
@@ -124,17 +126,23 @@ def disclosures(docs: DataFrame, generalise: float = GENERALISE) -> tuple[DataFr
     rare = what.join(n_beside, "term").join(who.groupBy("text_key").agg(F.max("most").alias("widest")), "text_key").where("n_beside <= widest")
     both = rare.join(who, "text_key").where("n_beside <= most").groupBy("entity", "term", "n_entity", "n_beside").agg(F.count(F.lit(1)).alias("n_both"))
     pairs = saved(both.where(share("n_beside") >= generalise - slack).drop("n_beside"))
-    words = keyed.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))).alias("word")).select("text_key", F.lower("word").alias("term"))
-    hits = saved(words.join(saved(pairs.select("term").distinct()), "term", "left_semi").distinct())
-    n_term = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    asked = saved(pairs.select("term").distinct())
+    hashed = lambda df: df.withColumn("h", F.xxhash64("term")).withColumns({"slot": F.shiftright("h", 6).bitwiseAND(F.lit(SIEVE - 1)), "bit": F.expr("shiftleft(1L, cast(h & 63 as int))")})
+    sieve = hashed(asked).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    words = keyed.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))).alias("word")).withColumn("term", F.lower("word"))
+    some = hashed(words).join(F.broadcast(sieve), "slot").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)  # at most SIEVE rows
+    # an inner join with distinct terms: the optimizer would move a semi-join below the sieve
+    hits = saved(some.select("text_key", "word").join(asked, F.lower("word") == F.col("term")).select("text_key", "word").distinct())
+    n_term = hits.select("text_key", F.lower("word").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     return hits, pairs.join(n_term, "term").select("entity", "term", share("n_term").alias("ratio")).where(F.col("ratio") >= generalise), held
 
 
 def spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id (or the columns `keep`), text, base and terms: arrays of (kind, start, end); terms also says which are removed."""
-    hits, told, _ = disclosures(docs)
+    hits, told, held = disclosures(docs)
     worst = told.groupBy("term").agg((F.max("ratio") >= REMOVE).alias("gone"))
-    by = hits.join(worst, "term").groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("__told"))
+    by = saved(hits.withColumn("term", F.lower("word")).join(worst, "term").groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "gone"))).alias("__told")))
+    drop(held, hits)
     keys = keep or ["doc_id"]
     text = F.coalesce(F.col("text"), F.lit(""))
     full = docs.select(*keys, text.alias("__text"), F.struct(F.xxhash64(text).alias("a"), F.length(text).alias("b")).alias("__key"), entities(text).alias("__found"))
@@ -142,8 +150,9 @@ def spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     base = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
     def marked(mails: Column) -> Column:
-        looked = F.transform(located(F.col("__text"), _WORD), lambda x: F.struct(F.lit(4).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.try_element_at(F.col("__told"), F.lower(x["value"])).alias("gone")))
-        return F.filter(F.filter(looked, lambda x: x["gone"].isNotNull()), lambda x: ~F.exists(mails, lambda f: (f["start"] < x["end"]) & (x["start"] < f["end"])))
+        told = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("__told"), "|"), F.lit(r")(?!\p{L})"))
+        looked = F.filter(located(F.col("__text"), told), lambda x: ~F.exists(mails, lambda f: (f["start"] < x["end"]) & (x["start"] < f["end"])))
+        return F.transform(looked, lambda x: F.struct(F.lit(4).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.element_at(F.col("__told"), x["value"]).alias("gone")))
 
     terms = F.when(F.col("__told").isNotNull(), let(F.filter("__found", lambda f: f["kind"] == 0), marked))
     none = F.from_json(F.lit("[]"), "array<struct<kind:int,start:int,end:int,gone:boolean>>")
