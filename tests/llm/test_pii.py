@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import os
 import re
 from collections import defaultdict
 
+import pytest
 import regex
 
 from tidemill.llm import op6_pii as P
@@ -52,36 +54,86 @@ def test_base_spans(spark):
     assert P.digest(frame.limit(0)).count() == 0
 
 
-def told_by_hand(texts):
-    """(entity, term) pairs that disclose, from counts over different texts."""
+def levels(kind, value):
+    k, v = list(PATTERNS).index(kind), value.lower()
+    digits = re.sub("[^0-9]", "", v)
+    group = {"email": v.rsplit("@")[-1], "ip": ".".join(v.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
+    return {f"{k}:{v}", f"{k}/{group}", str(k)}
+
+
+def low(k, n, z=1.96):
+    """The lower end of the Wilson interval."""
+    p = k / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def told_by_hand(texts, generalise=P.GENERALISE, remove=P.REMOVE):
+    """{(entity, term): removed} of the pairs that disclose, from counts over different whole texts."""
     different = sorted({t or "" for t in texts})
     with_entity, both, anywhere = defaultdict(set), defaultdict(set), defaultdict(set)
     for k, t in enumerate(different):
         found = base(t)
+        mails = [(a, b) for kind, a, b, _ in found if kind == "email"]
         words = [(m.start(), m.end(), m.group().lower()) for m in regex.finditer(r"\p{L}{3,}", t)]
         for _, _, w in words:
             anywhere[w].add(k)
-        for kind, a, b, v in found:
-            e = f"{list(PATTERNS).index(kind)}:{v.lower()}"
+        beside = {w for a, b, w in words if not any(c <= b and a <= d for c, d in mails)}
+        for e in {e for kind, _, _, v in found for e in levels(kind, v)}:
             with_entity[e].add(k)
-            for x, y, w in words:
-                if x >= max(a - 64, 0) + (a > 64) and y < b + 64 + (b + 64 >= len(t)) and not any(c < y and x < d for _, c, d, _ in found):
-                    both[e, w].add(k)
-    n = len(different)
-    return {(e, w) for (e, w), s in both.items() if len(s) >= 3 and n > len(with_entity[e]) and math.log2(n * len(s) / (len(anywhere[w]) * len(with_entity[e]))) >= 0.8 * math.log2(n / len(with_entity[e]))}
+            for w in beside:
+                both[e, w].add(k)
+    out = {}
+    for (e, w), s in both.items():
+        rate = len(with_entity[e]) / len(different)
+        sure = low(len(s), len(anywhere[w]))
+        share = 1 - math.log(sure) / math.log(rate) if rate < 1 else 0
+        if rate < 1 and share >= generalise and sure >= P.LEAST:
+            out[e, w] = share >= remove
+    return out
+
+
+def mixed_texts():
+    filler = "the office number {} about nothing much, ask them, and the desk is open for all who come by"
+    far = " ".join([filler.format(1)] * 3)
+    texts = [filler.format(k) for k in range(900)]
+    texts += [f"Élodie-Zwickau wrote. {far} Reach her at sole@one.example.org or {far} or 10.1.2.3. ZWICKAU again", f"{far} NETTLEWOOD signs", f"{far} pair@two.example.org {far} Nettlewood", f"{far} nettlewood {far} pair@two.example.org x\0marbury\0pair@two.example.org"]
+    return [*texts, f"quill éboss@three.example.org {far} 4111 1111 1111 1111 quartz", texts[900], None, ""]
 
 
-def test_terms(spark):
-    texts = [f"Ask Quillfeather ({k}) at the office: boss@mail.example.com about number {k}" for k in range(5)]
-    texts += [f"the office number {k} about nothing much, ask them" for k in range(40)] + ["only the Quill speaks of it", *texts[:2]]
+def checked(spark, texts):
+    """Disclosing pairs, spans and cleaned texts against counts by hand; returns the pairs."""
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    _, told, _ = P.disclosures(frame)
-    got = {(r.entity, r.term) for r in told.collect()}
-    assert got == told_by_hand(texts) and ("0:boss@mail.example.com", "quillfeather") in got and ("0:boss@mail.example.com", "office") not in got
-    rows = {r.doc_id: r.spans for r in P.digest(frame).collect()}
-    assert "term:4:16" in rows[0] and rows[10] == ""
+    told = told_by_hand(texts)
+    assert {(r.entity, r.term): r.gone for r in P.disclosures(frame)[1].collect()} == told
+    terms = {w for _, w in told}
+    removed = {w for (_, w), gone in told.items() if gone}
     clean = {r.doc_id: r.text for r in P.sanitised(frame).collect()}
-    assert "Quillfeather" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == texts[10]
+    for r in P.digest(frame).collect():
+        text = texts[r.doc_id] or ""
+        found = base(text)
+        mails = [(a, b) for kind, a, b, _ in found if kind == "email"]
+        hits = [m for m in regex.finditer(r"\p{L}{3,}", text) if m.group().lower() in terms and not any(a < m.end() and m.start() < b for a, b in mails)]
+        line = [f"{k}:{a}:{b}" for k, a, b, _ in found]
+        assert r.base_sha256 == hashlib.sha256(",".join(line).encode()).hexdigest()
+        assert r.spans == ",".join([*line, *(f"term:{m.start()}:{m.end()}" for m in hits)]) and r.n_term == len(hits)
+        tags = sorted([(a, b, f"[{k.upper()}]") for k, a, b, _ in found] + [(m.start(), m.end(), "" if m.group().lower() in removed else "[NAME]" if m.group()[0].isupper() and not m.group().isupper() else "[CODE]" if m.group().isupper() else "[WORD]") for m in hits])
+        made, at = "", 0
+        for a, b, tag in tags:
+            if a >= at:
+                made += text[at:a] + tag
+            at = max(at, b)
+        assert clean[r.doc_id] == (made + text[at:] if texts[r.doc_id] is not None else None)
+    return told
+
+
+def test_levels_and_removal(spark):
+    filler = [f"the office number {k} about nothing much, ask them" for k in range(400)]
+    texts = [f"Ask Quillfeather ({k}) at the office: boss@mail.example.com about number {k}" for k in range(14)]
+    texts += [f"Write to Domainia: user{k}@corp.example.org, {k} at the office" for k in range(6)]
+    texts += [f"Only HOTLINE {k}: +1 (212) 555-01{k:02} or the office" for k in range(10, 40)] + ["the Quill speaks of it", *filler, *texts[:2]]
+    told = checked(spark, texts)
+    assert told["0:boss@mail.example.com", "quillfeather"] and ("0:boss@mail.example.com", "office") not in told
+    assert ("0/corp.example.org", "domainia") in told and ("3/1212", "hotline") in told and ("3", "hotline") in told
 
 
 def test_masked_keeps_columns(spark):
@@ -91,46 +143,23 @@ def test_masked_keeps_columns(spark):
     assert P.sanitised(frame).columns == frame.columns
 
 
-def told_by_whole_texts(texts):
-    """(entity, term) pairs that disclose, from whole texts and without a least count."""
-    different = sorted({t or "" for t in texts})
-    with_entity, both, anywhere = defaultdict(set), defaultdict(set), defaultdict(set)
-    for k, t in enumerate(different):
-        found = base(t)
-        for m in regex.finditer(r"\p{L}{3,}", t):
-            anywhere[m.group().lower()].add(k)
-        for kind, _, _, v in found:
-            e = f"{list(PATTERNS).index(kind)}:{v.lower()}"
-            with_entity[e].add(k)
-            for m in regex.finditer(r"\p{L}{3,}", t):
-                if not any(c < m.end() and m.start() < d for _, c, d, _ in found):
-                    both[e, m.group().lower()].add(k)
-    p = {e: len(s) / len(different) for e, s in with_entity.items()}
-    return {(e, w) for (e, w), s in both.items() if p[e] < 1 and math.log2((len(s) + p[e]) / (len(anywhere[w]) + 1) / p[e]) >= 0.8 * math.log2(1 / p[e])}
 
+def test_rare_entities_and_whole_texts(spark):
+    texts = mixed_texts()
+    told = checked(spark, texts)
+    assert {("0:sole@one.example.org", "zwickau"), ("1:10.1.2.3", "zwickau"), ("2:4111 1111 1111 1111", "quartz")} <= set(told)
+    assert not any(w in ("office", "nothing", "desk") for _, w in told)
 
-def mixed_texts():
-    filler = "the office number {} about nothing much, ask them, and the desk is open for all who come by"
-    far = " ".join([filler.format(1)] * 3)
-    texts = [filler.format(k) for k in range(60)]
-    texts += [f"Élodie-Zwickau wrote. {far} Reach her at sole@one.example.org or {far} or 10.1.2.3. ZWICKAU again", f"{far} NETTLEWOOD signs", f"{far} pair@two.example.org {far} Nettlewood", f"{far} nettlewood {far} pair@two.example.org x\0marbury\0pair@two.example.org"]
-    return [*texts, f"quill éboss@three.example.org {far} 4111 1111 1111 1111 quartz", texts[60], None, ""]
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_terms_on_a_table(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    assert len(checked(spark, texts)) > 100
 
-def test_rare_entities_and_whole_texts(spark):
-    texts = mixed_texts()
-    frame = spark.createDataFrame([(k % 66, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    got = {(r.entity, r.term) for r in P.disclosures(frame)[1].collect()}
-    assert got == told_by_whole_texts(texts)
-    assert {("0:sole@one.example.org", "zwickau"), ("1:10.1.2.3", "zwickau"), ("0:pair@two.example.org", "nettlewood"), ("2:4111 1111 1111 1111", "quartz")} <= got
-    terms = {w for _, w in got}
-    for r in P.digest(frame).collect():
-        for t in [t for k, t in enumerate(texts) if k % 66 == r.doc_id]:
-            mails = [(a, b) for kind, a, b, _ in base(t) if kind == "email"]
-            want = [f"term:{m.start()}:{m.end()}" for m in regex.finditer(r"\p{L}{3,}", t or "") if m.group().lower() in terms and not any(a < m.end() and m.start() < b for a, b in mails)]
-            if [x for x in r.spans.split(",") if x[:4] == "term"] == want and r.n_term == len(want):
-                break
-        else:
-            raise AssertionError(r)
-    clean = [r.text for r in P.sanitised(frame).collect() if r.text]
-    assert not any(w in t.lower() for t in clean for w in ("zwickau", "nettlewood", "quartz", "marbury")) and texts[0] in clean
+
+def test_clashing_columns_and_empty(spark):
+    frame = spark.createDataFrame([(k, t, 1, "a", "b", "c", "d") for k, t in enumerate(mixed_texts())], "doc_id long, text string, found int, row string, text_key string, told string, base string")
+    plain = {r.doc_id: r.text for r in P.sanitised(frame.select("doc_id", "text")).collect()}
+    out = P.sanitised(frame)
+    assert out.columns == frame.columns and {r.doc_id: r.text for r in out.collect()} == plain
+    assert P.sanitised(frame.limit(0)).count() == 0

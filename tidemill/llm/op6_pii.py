@@ -1,26 +1,35 @@
-"""Personal data: pattern spans, and information-theoretic sanitisation of the terms around them.
+"""Personal data: pattern spans, and information-theoretic sanitisation of the terms that give them away.
 
 Four kinds of protected entities are found by pattern: e-mail addresses, IP addresses, card numbers and phone numbers.
-The corpus then tells which words give an entity away. A term is a word of `MIN_LETTERS` letters or more; words that
-touch an e-mail address are no terms of their text. With document frequencies over all N different texts, n(e) of the
-entity, n(t) of the term anywhere and n(t, e) of the texts that hold both, the term discloses
+An entity stands at three levels, each protected: its exact value, its group (mail domain, network, issuer digits,
+country and area code) and its kind. The corpus tells which words disclose one. A term is a word of `MIN_LETTERS`
+letters or more; words that touch an e-mail address are no terms of their text. With document frequencies over all N
+different whole texts, n(e) of the entity, n(t) of the term anywhere and n(t, e) of the texts that hold both, the term
+discloses the share
 
-    PMI(t; e) / IC(e) = log2(P(e | t) / P(e)) / log2(1 / P(e)),  P(e) = n(e) / N,  P(e | t) = (n(t, e) + P(e)) / (n(t) + 1)
+    1 - log(P(e | t)) / log(P(e)),  P(e) = n(e) / N
 
-of the entity's information. P(e | t) is smoothed by one text that tells nothing; there is no least count, so an entity
-of one text is disclosed by a term that few other texts hold. At `GENERALISE` or more the term is replaced by a general
-one; at `REMOVE` or more, for any entity, it is taken out. Each occurrence of a disclosing term in any text is a span,
-unless it touches an e-mail address. An entity in all texts has no information to disclose.
+of the entity's information, where P(e | t) is not the plain n(t, e) / n(t) but the lower end of its 95 % Wilson interval,
+so that few texts prove little. A term is generalised if that share is `GENERALISE` or more and P(e | t) by its lower
+end `LEAST` or more (a term most of whose texts do not hold the entity identifies nobody, however rare the entity is); it
+is removed if the share is `REMOVE` or more for any entity. `LEAST` is just below the lower end for one text of one, so
+a word that the corpus holds in a single text, one with an entity, is a quasi-identifier and counts; a word of two
+texts of which one holds the entity does not. Each occurrence of a disclosing term in any text is a span, unless it
+touches an e-mail address. An entity in all texts has no information to disclose.
+
+Generalising puts the kind of word in a term's place: [NAME] for a capitalised word, [CODE] for one in capitals, [WORD].
 
 Defined results: a null or empty text has no spans. Equal texts get equal spans, so ties and repeated rows agree; a
 null doc_id is matched as such. An empty table gives an empty result. Only doc_id and text are read for spans, and
-sanitised() changes the text alone, so extra columns cannot clash. All offsets are code points, the end exclusive.
-
-Scale: patterns run in one narrow stage. The different words of texts with entities are stored once. A term occurs in
-at least the texts with entities that hold it, and n(t, e) <= n(e), so n(t) + 1 <= (n(e) + P(e)) P(e) ** (GENERALISE - 1)
-for every pair that passes: that bound drops common words, exactly, before pairs are formed. The words of the corpus
-pass a bitmap of hashes of the terms in question (`SIEVE` longs, broadcast) before they are shuffled to the exact
-join. Marking looks for the disclosing words of a text only. Other joins are broadcast below Spark's threshold.
+sanitised() changes the text alone, carrying the row as one struct, so extra columns cannot clash. All offsets are code
+points, the end exclusive.
+
+Scale: patterns run in one narrow stage. The different words of texts with entities are stored once. With f the least
+P(e | t) that discloses, the Wilson bound reads n(t, e) >= f n(t) + Z sqrt(n(t) f (1 - f)). A term occurs in at least the
+texts with entities that hold it, and n(t, e) <= n(e): so f, n(e) and that count already rule most pairs out, exactly,
+before any is formed. The words of the corpus pass a bitmap of hashes of the terms in question (`SIEVE` longs, broadcast)
+before they are shuffled to the exact join. Marking looks for the disclosing words of a text only. Other joins are
+broadcast below Spark's threshold.
 """
 
 from __future__ import annotations
@@ -38,8 +47,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 MIN_LETTERS = 3
-GENERALISE = 0.8
-REMOVE = 0.98
+#: Shares of an entity's information from which a term is generalised, or removed, the least P(e | t), and the deviations of its lower end.
+GENERALISE, REMOVE, LEAST, Z = 0.75, 0.9, 0.2, 1.96
 _WORD = r"\p{L}{%d,}" % MIN_LETTERS
 #: Longs of the bitmap of term hashes: 2 ** 17 are 8 million bits.
 SIEVE = 1 << 17
@@ -102,30 +111,52 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(_APART), F.lit(0)), F.lower))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.struct(F.xxhash64(text).alias("a"), F.length(text).alias("b")).alias("text_key"))
+    return docs.select(*more, text.alias("text"), F.struct(F.xxhash64(text).alias("a"), F.length(text).alias("b")).alias("text_key"))
+
+
+def levels(found: Column) -> Column:
+    """The different entities of an array of base spans, each at its three levels."""
+
+    def one(e: Column) -> Column:
+        kind, value = e["kind"].cast("string"), F.lower(e["value"])
+        digits = _digits(value)
+        group = F.when(e["kind"] == 0, F.substring_index(value, "@", -1)).when(e["kind"] == 1, F.substring_index(value, ".", 2)).when(e["kind"] == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+        return F.array(F.concat(kind, F.lit(":"), value), F.concat(kind, F.lit("/"), group), kind)
+
+    return F.array_distinct(F.flatten(F.transform(found, one)))
+
 
+def least_share(rate: Column, share: float) -> Column:
+    """The least P(e | t) with which a term discloses `share` of the information of an entity of this rate."""
+    return F.greatest(F.pow(rate, F.lit(1 - share)), F.lit(LEAST))
 
-def disclosures(docs: DataFrame, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(text_key and word for all texts that hold a term in question, disclosing pairs (entity, term, ratio), texts with entities), over all of `docs`."""
+
+def proven(both: Column, n: Column, f: Column) -> Column:
+    """Whether the lower end of the Wilson interval of both / n is f or more."""
+    return both >= f * n + Z * F.sqrt(n * f * (1 - f))
+
+
+def disclosures(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(text_key and word for all texts that hold a term in question, disclosing pairs (entity, term, gone), texts with entities), over all of `docs`."""
     keyed = _keyed(docs)
     with_any = keyed.select("text_key", "text", entities(F.col("text")).alias("found")).where(F.size("found") > 0)
-    named = F.array_distinct(F.transform("found", lambda e: F.concat(e["kind"].cast("string"), F.lit(":"), F.lower(e["value"]))))
-    held = saved(with_any.select("text_key", named.alias("entities"), terms_of(F.col("text")).alias("terms")).dropDuplicates(["text_key"]))
+    held = saved(with_any.select("text_key", levels(F.col("found")).alias("entities"), terms_of(F.col("text")).alias("terms")).dropDuplicates(["text_key"]))
     n_texts = float(keyed.select("text_key").distinct().count())
     rate = F.col("n_entity") / n_texts
-    share = lambda n: 1 - F.log((F.col("n_both") + rate) / (F.col(n) + 1)) / F.log(rate)
+    f = least_share(rate, generalise)
     slack = 1e-9  # the bounds below are for exact numbers
     who = held.select("text_key", F.explode("entities").alias("entity"))
     n_entity = who.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    most = (F.col("n_entity") + rate) * F.pow(rate, F.lit(generalise - 1)) * (1 + slack) - 1
-    who = who.join(n_entity.where(F.col("n_entity") < n_texts), "entity").withColumn("most", most)
+    root = (F.sqrt(Z * Z * f * (1 - f) + 4 * f * F.col("n_entity")) - Z * F.sqrt(f * (1 - f))) / (2 * f)
+    bounds = {"most": root * root * (1 + slack), "fewest": Z * Z * f / (1 - f) * (1 - slack)}
+    who = who.join(n_entity.where(F.col("n_entity") < n_texts).withColumns(bounds).where("most >= fewest"), "entity")
     what = held.select("text_key", F.explode("terms").alias("term"))
     n_beside = what.groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
     rare = what.join(n_beside, "term").join(who.groupBy("text_key").agg(F.max("most").alias("widest")), "text_key").where("n_beside <= widest")
-    both = rare.join(who, "text_key").where("n_beside <= most").groupBy("entity", "term", "n_entity", "n_beside").agg(F.count(F.lit(1)).alias("n_both"))
-    pairs = saved(both.where(share("n_beside") >= generalise - slack).drop("n_beside"))
+    both = rare.join(who, "text_key").where("n_beside between fewest and most").groupBy("entity", "term", "n_entity", "n_beside").agg(F.count(F.lit(1)).alias("n_both"))
+    pairs = saved(both.where(proven(F.col("n_both") * (1 + slack), F.col("n_beside"), f)).drop("n_beside"))
     asked = saved(pairs.select("term").distinct())
     hashed = lambda df: df.withColumn("h", F.xxhash64("term")).withColumns({"slot": F.shiftright("h", 6).bitwiseAND(F.lit(SIEVE - 1)), "bit": F.expr("shiftleft(1L, cast(h & 63 as int))")})
     sieve = hashed(asked).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
@@ -134,51 +165,55 @@ def disclosures(docs: DataFrame, generalise: float = GENERALISE) -> tuple[DataFr
     # an inner join with distinct terms: the optimizer would move a semi-join below the sieve
     hits = saved(some.select("text_key", "word").join(asked, F.lower("word") == F.col("term")).select("text_key", "word").distinct())
     n_term = hits.select("text_key", F.lower("word").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    return hits, pairs.join(n_term, "term").select("entity", "term", share("n_term").alias("ratio")).where(F.col("ratio") >= generalise), held
+    told = pairs.join(n_term, "term").where(proven(F.col("n_both"), F.col("n_term"), f))
+    return hits, told.select("entity", "term", proven(F.col("n_both"), F.col("n_term"), least_share(rate, remove)).alias("gone")), held
 
 
-def spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """One row per row of `docs`: doc_id (or the columns `keep`), text, base and terms: arrays of (kind, start, end); terms also says which are removed."""
+def spans(docs: DataFrame) -> DataFrame:
+    """One row per row of `docs`: row (a struct of its columns), text, base and terms: arrays of (kind, start, end); terms also says which are removed."""
     hits, told, held = disclosures(docs)
-    worst = told.groupBy("term").agg((F.max("ratio") >= REMOVE).alias("gone"))
-    by = saved(hits.withColumn("term", F.lower("word")).join(worst, "term").groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "gone"))).alias("__told")))
+    worst = told.groupBy("term").agg(F.bool_or("gone").alias("gone"))
+    by = saved(hits.withColumn("term", F.lower("word")).join(worst, "term").groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "gone"))).alias("told")))
     drop(held, hits)
-    keys = keep or ["doc_id"]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    full = docs.select(*keys, text.alias("__text"), F.struct(F.xxhash64(text).alias("a"), F.length(text).alias("b")).alias("__key"), entities(text).alias("__found"))
-    joined = full.join(by.withColumnRenamed("text_key", "__rkey"), F.col("__key") == F.col("__rkey"), "left")
-    base = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    full = _keyed(docs, F.struct("*").alias("row")).select("row", "text", "text_key", entities(F.col("text")).alias("found"))
+    joined = full.join(by, "text_key", "left")
+    base = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
     def marked(mails: Column) -> Column:
-        told = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("__told"), "|"), F.lit(r")(?!\p{L})"))
-        looked = F.filter(located(F.col("__text"), told), lambda x: ~F.exists(mails, lambda f: (f["start"] < x["end"]) & (x["start"] < f["end"])))
-        return F.transform(looked, lambda x: F.struct(F.lit(4).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.element_at(F.col("__told"), x["value"]).alias("gone")))
+        pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("told"), "|"), F.lit(r")(?!\p{L})"))
+        looked = F.filter(located(F.col("text"), pattern), lambda x: ~F.exists(mails, lambda f: (f["start"] < x["end"]) & (x["start"] < f["end"])))
+        return F.transform(looked, lambda x: F.struct(F.lit(4).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.element_at(F.col("told"), x["value"]).alias("gone")))
 
-    terms = F.when(F.col("__told").isNotNull(), let(F.filter("__found", lambda f: f["kind"] == 0), marked))
+    terms = F.when(F.col("told").isNotNull(), let(F.filter("found", lambda f: f["kind"] == 0), marked))
     none = F.from_json(F.lit("[]"), "array<struct<kind:int,start:int,end:int,gone:boolean>>")
-    return joined.select(*keys, "__text", base.alias("__base"), F.coalesce(terms, none).alias("__terms"))
+    return joined.select("row", "text", base.alias("base"), F.coalesce(terms, none).alias("terms"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     names = F.array(*map(F.lit, KINDS))
     line = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    made = spans(docs)
-    count = lambda k: F.size(F.filter("__base", lambda x: x["kind"] == k)).cast("long")
-    base, terms = line(F.col("__base")), line(F.col("__terms"))
+    made = spans(docs.select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    base, terms = line(F.col("base")), line(F.col("terms"))
     return made.select(
-        "doc_id", *(count(k).alias(f"n_{x}") for k, x in enumerate(KINDS[:4])),
+        F.col("row.doc_id").alias("doc_id"), *(count(k).alias(f"n_{x}") for k, x in enumerate(KINDS[:4])),
         F.sha2(base, 256).alias("base_sha256"),
         F.concat_ws(",", *(F.when(x != "", x) for x in (base, terms))).alias("spans"),
-        F.size("__terms").cast("long").alias("n_term"),
+        F.size("terms").cast("long").alias("n_term"),
     )
 
 
+def kind_of(word: Column) -> Column:
+    """What a generalised word is replaced by."""
+    return F.when(~word.rlike(r"^\p{Lu}"), "[WORD]").otherwise(F.when(word == F.upper(word), "[CODE]").otherwise("[NAME]"))
+
+
 def masked(text: Column, base: Column, terms: Column) -> Column:
-    """The text with every span replaced: [EMAIL], [IP], [CARD], [PHONE], [TERM], or nothing for a removed term. Overlapping spans are one."""
+    """The text with every span replaced: [EMAIL], [IP], [CARD], [PHONE], the kind of a generalised word, or nothing for a removed one. Overlapping spans are one."""
     tags = F.array(*(F.lit(f"[{x.upper()}]") for x in KINDS))
     plain = F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.get(tags, x["kind"]).alias("tag")))
-    told = F.transform(terms, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["gone"], "").otherwise(F.get(tags, x["kind"])).alias("tag")))
+    told = F.transform(terms, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["gone"], "").otherwise(kind_of(F.substring(text, x["start"] + 1, x["end"] - x["start"]))).alias("tag")))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
@@ -192,12 +227,11 @@ def masked(text: Column, base: Column, terms: Column) -> Column:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """`docs` with every span replaced in its text (a null text stays null) and, where it has the column, n_chars brought up to date."""
-    made = spans(docs, docs.columns)
-    clean = F.when(F.col("text").isNotNull(), masked(F.col("__text"), F.col("__base"), F.col("__terms")))
-    out = made.withColumn("text", clean)
+    made = spans(docs).withColumn("clean", F.when(F.col("row.text").isNotNull(), masked(F.col("text"), F.col("base"), F.col("terms"))))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType)
+    return made.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 __all__ = ["digest", "disclosures", "drop", "entities", "masked", "sanitised", "spans"]
