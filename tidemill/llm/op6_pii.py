@@ -24,12 +24,12 @@ null doc_id is matched as such. An empty table gives an empty result. Only doc_i
 sanitised() changes the text alone, carrying the row as one struct, so extra columns cannot clash. All offsets are code
 points, the end exclusive.
 
-Scale: patterns run in one narrow stage. The different words of texts with entities are stored once. With f the least
-P(e | t) that discloses, the Wilson bound reads n(t, e) >= f n(t) + Z sqrt(n(t) f (1 - f)). A term occurs in at least the
-texts with entities that hold it, and n(t, e) <= n(e): so f, n(e) and that count already rule most pairs out, exactly,
-before any is formed. The words of the corpus pass a bitmap of hashes of the terms in question (`SIEVE` longs, broadcast)
-before they are shuffled to the exact join. Marking looks for the disclosing words of a text only. Other joins are
-broadcast below Spark's threshold.
+Scale: each different text counts once; only texts whose key may occur twice (by a bitmap of `SIEVE` longs, broadcast) are
+moved for that. The frequencies of all words are counted map-side, so what is shuffled is vocabularies. With f the least
+P(e | t) that discloses, the Wilson bound reads n(t, e) >= f n(t) + Z sqrt(n(t) f (1 - f)), and n(t, e) <= n(e): f and n(e)
+rule most pairs out, exactly, before any is formed, and the most common terms (at most `COMMON`, broadcast) before
+anything is shuffled. Counts for the four kinds are columns of the terms' own count. A second bitmap finds the texts that
+hold disclosing terms, and marking looks for a text's own terms only. Other joins are broadcast below Spark's threshold.
 """
 
 from __future__ import annotations
@@ -50,8 +50,8 @@ MIN_LETTERS = 3
 #: Shares of an entity's information from which a term is generalised, or removed, the least P(e | t), and the deviations of its lower end.
 GENERALISE, REMOVE, LEAST, Z = 0.75, 0.9, 0.2, 1.96
 _WORD = r"\p{L}{%d,}" % MIN_LETTERS
-#: Longs of the bitmap of term hashes: 2 ** 17 are 8 million bits.
-SIEVE = 1 << 17
+#: Longs of the bitmap of term hashes (2 ** 17 are 8 million bits), and common terms that are held against each text where it lies.
+SIEVE, COMMON = 1 << 17, 1 << 18
 #: A word that does not touch the sign that stands for an e-mail address.
 _APART = r"(?<![\p{L}\x00])\p{L}{%d,}+(?!\x00)" % MIN_LETTERS
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
@@ -138,43 +138,73 @@ def proven(both: Column, n: Column, f: Column) -> Column:
     return both >= f * n + Z * F.sqrt(n * f * (1 - f))
 
 
-def disclosures(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(text_key and word for all texts that hold a term in question, disclosing pairs (entity, term, gone), texts with entities), over all of `docs`."""
+def _slots(df: DataFrame, code: Column) -> DataFrame:
+    """`df` with the slot and bit of a 64-bit code in a bitmap of `SIEVE` longs."""
+    return df.withColumns({"slot": F.shiftright(code, 6).bitwiseAND(F.lit(SIEVE - 1)), "bit": F.call_function("shiftleft", F.lit(1).cast("long"), code.bitwiseAND(F.lit(63)).cast("int"))})
+
+
+def _sieved(df: DataFrame, code: Column, of: DataFrame, of_code: Column) -> DataFrame:
+    """`df` with the column `maybe`: false only if the code is no code of `of`. The bitmap has at most SIEVE rows."""
+    bits = _slots(of, of_code).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    return _slots(df, code).join(F.broadcast(bits), "slot", "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))).drop("slot", "bit", "bits")
+
+
+def different(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(text_key and text of each different text, a table to drop, their number). Texts move only if their key may occur twice."""
     keyed = _keyed(docs)
-    with_any = keyed.select("text_key", "text", entities(F.col("text")).alias("found")).where(F.size("found") > 0)
-    held = saved(with_any.select("text_key", levels(F.col("found")).alias("entities"), terms_of(F.col("text")).alias("terms")).dropDuplicates(["text_key"]))
-    n_texts = float(keyed.select("text_key").distinct().count())
-    rate = F.col("n_entity") / n_texts
+    counts = saved(keyed.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")))
+    flagged = _sieved(keyed, F.col("text_key.a"), counts.where("n > 1"), F.col("text_key.a"))
+    copied = saved(flagged.where("maybe").groupBy("text_key").agg(F.min("text").alias("text")))
+    n = counts.count()
+    return flagged.where("not maybe").select("text_key", "text").unionByName(copied), copied, n
+
+
+def disclosures(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
+    """(text_key and word for all texts that hold a disclosing term, disclosing pairs (entity, term, gone)), over all of `docs`."""
+    texts, copied, n_texts = different(docs)
+    with_any = texts.select("text_key", "text", entities(F.col("text")).alias("found")).where(F.size("found") > 0)
+    held = saved(with_any.select("text_key", levels(F.col("found")).alias("entities"), terms_of(F.col("text")).alias("terms")))
+    rate = F.col("n_entity") / float(max(n_texts, 1))
     f = least_share(rate, generalise)
     slack = 1e-9  # the bounds below are for exact numbers
     who = held.select("text_key", F.explode("entities").alias("entity"))
-    n_entity = who.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    n_entity = saved(who.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") < n_texts))
+    # kinds are four columns of the terms' count; values and groups are joined below
+    kinds = [str(k) for k in range(4)]
+    flags = [F.array_contains("entities", k).cast("int").alias(f"k{k}") for k in kinds]
+    beside = held.select(*flags, F.explode("terms").alias("term")).groupBy("term").agg(*(F.sum(f"k{k}").alias(f"k{k}") for k in kinds))
+    words = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.lower))).alias("term"))
+    known = saved(beside.join(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "term"))
+    of_kinds = known.select("term", "n_term", F.explode(F.array(*(F.struct(F.lit(k).alias("entity"), F.col(f"k{k}").alias("n_both")) for k in kinds))).alias("x")).select("x.entity", "term", "n_term", "x.n_both").where("n_both > 0")
+    of_kinds = of_kinds.join(F.broadcast(n_entity.where(F.col("entity").isin(kinds))), "entity")  # four rows
     root = (F.sqrt(Z * Z * f * (1 - f) + 4 * f * F.col("n_entity")) - Z * F.sqrt(f * (1 - f))) / (2 * f)
     bounds = {"most": root * root * (1 + slack), "fewest": Z * Z * f / (1 - f) * (1 - slack)}
-    who = who.join(n_entity.where(F.col("n_entity") < n_texts).withColumns(bounds).where("most >= fewest"), "entity")
-    what = held.select("text_key", F.explode("terms").alias("term"))
-    n_beside = what.groupBy("term").agg(F.count(F.lit(1)).alias("n_beside"))
-    rare = what.join(n_beside, "term").join(who.groupBy("text_key").agg(F.max("most").alias("widest")), "text_key").where("n_beside <= widest")
-    both = rare.join(who, "text_key").where("n_beside between fewest and most").groupBy("entity", "term", "n_entity", "n_beside").agg(F.count(F.lit(1)).alias("n_both"))
-    pairs = saved(both.where(proven(F.col("n_both") * (1 + slack), F.col("n_beside"), f)).drop("n_beside"))
-    asked = saved(pairs.select("term").distinct())
-    hashed = lambda df: df.withColumn("h", F.xxhash64("term")).withColumns({"slot": F.shiftright("h", 6).bitwiseAND(F.lit(SIEVE - 1)), "bit": F.expr("shiftleft(1L, cast(h & 63 as int))")})
-    sieve = hashed(asked).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-    words = keyed.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))).alias("word")).withColumn("term", F.lower("word"))
-    some = hashed(words).join(F.broadcast(sieve), "slot").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)  # at most SIEVE rows
+    who = saved(who.join(n_entity.where(~F.col("entity").isin(kinds)).withColumns(bounds).where("most >= fewest"), "entity"))
+    met = known.agg(F.coalesce(F.sum("n_term"), F.lit(0))).first()[0]
+    common = known.where(F.col("n_term") > met / COMMON).select("term", F.col("n_term").alias("n_common"))  # at most COMMON rows, by their sum
+    widest = who.groupBy("text_key").agg(F.max("most").alias("widest"))
+    what = held.join(widest, "text_key").select("text_key", "widest", F.explode("terms").alias("term"))
+    what = what.join(F.broadcast(common), "term", "left").where(F.col("n_common").isNull() | (F.col("n_common") <= F.col("widest")))
+    rare = what.select("text_key", "widest", "term").join(known.select("term", "n_term"), "term").where("n_term <= widest")
+    both = rare.join(who, "text_key").where("n_term between fewest and most").groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
+    holds = lambda x: proven(F.col("n_both"), F.col("n_term"), x)
+    told = both.select("entity", "term", "n_entity", "n_term", "n_both").unionByName(of_kinds.select("entity", "term", "n_entity", "n_term", "n_both")).where(holds(f))
+    told = saved(told.select("entity", "term", holds(least_share(rate, remove)).alias("gone")))
+    asked = saved(told.select("term").distinct())
+    words = texts.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))).alias("word"))
+    some = _sieved(words, F.xxhash64(F.lower("word")), asked, F.xxhash64("term")).where("maybe")
     # an inner join with distinct terms: the optimizer would move a semi-join below the sieve
-    hits = saved(some.select("text_key", "word").join(asked, F.lower("word") == F.col("term")).select("text_key", "word").distinct())
-    n_term = hits.select("text_key", F.lower("word").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    told = pairs.join(n_term, "term").where(proven(F.col("n_both"), F.col("n_term"), f))
-    return hits, told.select("entity", "term", proven(F.col("n_both"), F.col("n_term"), least_share(rate, remove)).alias("gone")), held
+    hits = saved(some.join(asked, F.lower("word") == F.col("term")).select("text_key", "word"))
+    drop(held, known, who, n_entity, copied)
+    return hits, told
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: row (a struct of its columns), text, base and terms: arrays of (kind, start, end); terms also says which are removed."""
-    hits, told, held = disclosures(docs)
+    hits, told = disclosures(docs)
     worst = told.groupBy("term").agg(F.bool_or("gone").alias("gone"))
     by = saved(hits.withColumn("term", F.lower("word")).join(worst, "term").groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "gone"))).alias("told")))
-    drop(held, hits)
+    drop(hits)
     full = _keyed(docs, F.struct("*").alias("row")).select("row", "text", "text_key", entities(F.col("text")).alias("found"))
     joined = full.join(by, "text_key", "left")
     base = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
