@@ -65,8 +65,10 @@ def vectors(seed=2, n=700, dim=16):
     return x.astype(np.float32)
 
 
-def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(E, "BLOCK", 150)
+@pytest.mark.parametrize("sample", [4096, 60])  # with few sampled vectors, intervals are dealt into parts
+def test_embeddings(spark, monkeypatch, sample):
+    monkeypatch.setattr(E, "BLOCK_BYTES", 8 * 16 * 60)
+    monkeypatch.setattr(E, "SAMPLE", sample)
     monkeypatch.setattr(E, "LEAF", 32)
     x = vectors()
     rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
@@ -93,11 +95,15 @@ def test_embeddings(spark, monkeypatch):
 def test_ego_skips_distant_blocks():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(1, 8)) * 3 + rng.normal(size=(512, 8)) * 0.05 for _ in range(4)])
-    axes = E.principal_axes(x)
-    side = E.Side(np.arange(len(x)), np.ones(len(x), np.int64), x, axes, E.epsilon(0.95))
+    frame = E.Frame(list(x))
+    side = E.Side(np.arange(len(x)), np.ones(len(x), np.int64), x, frame, E.epsilon(0.95))
     _, compared = E.join_blocks(side, side, 0.95, E.epsilon(0.95))
     leaves = len(side.cuts) - 1
     assert compared < leaves * (leaves + 1) / 2
+    u = E.unit(x)
+    z = frame.coordinates(u)
+    a, b = rng.integers(0, len(x), (2, 2000))
+    assert (np.linalg.norm(z[a] - z[b], axis=1) <= np.linalg.norm(u[a] - u[b], axis=1) + 1e-12).all()
 
 
 def brute_chain(emit, moves):
