@@ -26,6 +26,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def unclashing(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it no column of `df`."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def total(values: Column) -> Column:
     """The sum of an array of longs; 0 for an empty one."""
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -48,7 +59,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without one a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):  # a machine-local folder serves one machine only
             raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", found)

@@ -8,12 +8,14 @@ languages are labelled word by word. The language of a text is the one with the
 score is that mean.
 
 Words carry no labels of their own: a first fit gives every word of a labelled text the text's language, a second fit
-uses the languages that the first decodes, so the transitions learn how texts switch. Training takes a bounded sample:
-the `TRAIN_DOCS` labelled documents with the smallest hashes among those whose crc32(doc_id) mod 4 is not 2.
+uses the languages that the first decodes, so the transitions learn how texts switch. Training takes a bounded sample
+among the labelled documents with letters whose crc32(doc_id) mod 4 is not 2: of each of the `LANGS` most frequent
+languages the `TRAIN_DOCS` documents with the smallest hashes. Only ids are ranked; texts follow for the chosen ones.
 
 Defined results: a null text, or one without letters, is `und` with score 0, and so is every text where no labelled
 row can be learned from. The prediction depends on the text alone, so ties and repeated rows agree. An empty table
-gives an empty result. Only doc_id, text and lang are read, so extra columns cannot clash.
+gives an empty result. Only doc_id, text and lang are read, and added columns get names that no column has, so extra
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -23,16 +25,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import drop, saved, unclashing
+
 UNKNOWN = "und"
-TRAIN_DOCS = 1000
+#: Documents of each language, and languages, that a fit learns from.
+TRAIN_DOCS, LANGS = 400, 64
 #: Hash bits of n-gram weights; words of a training segment; steps of a fit.
 BITS, SEGMENT, STEPS = 18, 64, 30
 LEXICON_COUNT = 5
-#: Texts whose chains run side by side, and texts that a worker holds the figures of at once.
-WIDE, SLICE = 512, 1024
+#: Texts whose chains run side by side, texts that a worker holds the figures of at once, and words of a part of a fit.
+WIDE, SLICE, PART = 512, 1024, 1 << 15
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,6 +138,39 @@ def forward_backward(emit: np.ndarray, ends: np.ndarray, moves: np.ndarray, pair
     return out, moved, log
 
 
+def parts_of(cuts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Runs of whole segments with about PART words: (first word, word after the last, ends inside the run)."""
+    begins = np.concatenate([[0], cuts[:-1]])
+    a = 0
+    while a < len(cuts):
+        b = max(a + 1, int(np.searchsorted(cuts, begins[a] + PART, side="right")))
+        yield int(begins[a]), int(cuts[b - 1]), cuts[a:b] - begins[a]
+        a = b
+
+
+def gradient(model: Model, who: np.ndarray, what: np.ndarray, common: np.ndarray, index: np.ndarray, cuts: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By word: label counts less expected ones; and observed less expected transitions. One part's figures are held at a time."""
+    k, n = len(model.langs), int(index.max()) + 1
+    emit = emissions_of(model, who, what, common, n)
+    by_word, flow, eye = np.zeros((n, k)), np.zeros((k, k)), np.eye(k)
+    for a, b, ends in parts_of(cuts):
+        at, target = index[a:b], eye[label[a:b]]
+        marginal, moved, _ = forward_backward(emit[at], ends, model.moves, pairs=True)
+        slack = target - marginal
+        by_word += np.stack([np.bincount(at, slack[:, c], n) for c in range(k)], 1)
+        joined = np.ones(b - a, bool)
+        joined[ends - 1] = False
+        flow += target[:-1][joined[:-1]].T @ target[1:][joined[:-1]] - moved
+    return by_word, flow, emit
+
+
+def emissions_of(model: Model, who: np.ndarray, what: np.ndarray, common: np.ndarray, n: int) -> np.ndarray:
+    """Log emissions of the n training words; `common` are those of the lexicon."""
+    emit = np.stack([np.bincount(who, model.grams[what, c], n) for c in range(len(model.langs))], 1)
+    emit[common] += model.entries
+    return emit
+
+
 def fit(texts: pa.ListArray, labels: np.ndarray, langs: list[str], steps: int = STEPS) -> Model:
     """A model of the labelled texts (lists of words)."""
     coded = texts.flatten().dictionary_encode()
@@ -140,34 +178,26 @@ def fit(texts: pa.ListArray, labels: np.ndarray, langs: list[str], steps: int =
     ends = np.cumsum(texts.value_lengths().to_numpy()).astype(np.int64)
     k, n = len(langs), len(words)
     who, what, names = features(words)
-    counts = np.bincount(index, minlength=n)
-    common = np.nonzero(counts >= LEXICON_COUNT)[0]
+    common = np.nonzero(np.bincount(index, minlength=n) >= LEXICON_COUNT)[0]
     common = common[np.argsort(names[common])]
     model = Model(langs, np.zeros((1 << BITS, k)), names[common], np.zeros((len(common), k)), np.zeros((k, k)))
-    target = np.eye(k)[np.repeat(labels, np.diff(np.concatenate([[0], ends])))]
+    label = np.repeat(labels, np.diff(np.concatenate([[0], ends])))
     cuts = np.unique(np.concatenate([ends, np.arange(SEGMENT, len(index), SEGMENT)]))
     for stage in range(2):
         squares = [np.full(x.shape, 1e-8) for x in (model.grams, model.entries, model.moves)]
-        joined = np.ones(len(index) - 1, bool)
-        joined[cuts[:-1] - 1] = False
-        flow = (target[:-1] * joined[:, None]).T @ target[1:]
         for step in range(steps if stage == 0 else steps // 3):
-            emit = np.stack([np.bincount(who, model.grams[what, c], n) for c in range(k)], 1)
-            emit[common] += model.entries
-            marginal, moved, _ = forward_backward(emit[index], cuts, model.moves, pairs=True)
-            slack = target - marginal
-            by_word = np.stack([np.bincount(index, slack[:, c], n) for c in range(k)], 1)
+            by_word, flow, _ = gradient(model, who, what, common, index, cuts, label)
             by_gram = np.stack([np.bincount(what, by_word[who, c], 1 << BITS) for c in range(k)], 1)
             rate = 0.3 / (1 + step / 10)
-            for x, g, s in zip((model.grams, model.entries, model.moves), (by_gram - 0.02 * model.grams, by_word[common] - 0.02 * model.entries, flow - moved), squares):
+            for x, g, s in zip((model.grams, model.entries, model.moves), (by_gram - 0.02 * model.grams, by_word[common] - 0.02 * model.entries, flow), squares):
                 s += g * g
                 x += rate * g / np.sqrt(s)
         if stage == 0:  # the words' own languages, as far as the first fit is sure of them
-            emit = np.stack([np.bincount(who, model.grams[what, c], n) for c in range(k)], 1)
-            emit[common] += model.entries
-            marginal, _, _ = forward_backward(emit[index], cuts, model.moves)
-            sure = marginal.max(axis=1) > 0.9
-            target = np.where(sure[:, None], np.eye(k)[marginal.argmax(axis=1)], target)
+            emit, label = emissions_of(model, who, what, common, n), label.copy()
+            for a, b, inner in parts_of(cuts):
+                marginal, _, _ = forward_backward(emit[index[a:b]], inner, model.moves)
+                sure = marginal.max(axis=1) > 0.9
+                label[a:b] = np.where(sure, marginal.argmax(axis=1), label[a:b])
     return model
 
 
@@ -180,15 +210,28 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def sampled(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """doc_id, lang and a hash of the text of the documents that a fit learns from: at most `train_docs` of each of LANGS languages (more only where rows of the last repeat)."""
+    usable = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), "text")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
+    # four times the share that suffices passes before anything is ranked; small languages pass whole
+    share = F.least(F.lit(1.0), 4.0 * train_docs / F.col("n"))
+    near = usable.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) <= share * (1 << 30)).where(F.col("text").rlike(r"\p{L}"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", F.col("t"))
+    return near.select("doc_id", "lang", "h", F.xxhash64("text").alias("t")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= train_docs).select(F.col("doc_id").alias("id"), "lang", "t").distinct()
+
+
 def trained(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     """A model of a bounded sample of labelled documents, or None if there are none."""
-    fit_rows = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
-    keys = fit_rows.select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).limit(train_docs)
-    table = keys.select("lang", words_of(F.col("text")).alias("w")).where(F.size("w") > 0).toArrow().combine_chunks()
+    chosen = saved(sampled(docs, train_docs).withColumnRenamed("lang", "lang_of"))
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("lang_of")) & (F.xxhash64("text") == F.col("t")))
+    one = texts.select("id", "lang", "t", words_of(F.col("text")).alias("w")).groupBy("id", "lang", "t").agg(F.min("w").alias("w"))  # bounded by the sample, whatever repeats
+    table = one.orderBy("lang", "id", "t").select("lang", "w").toArrow().combine_chunks()
+    drop(chosen)
     if not len(table):
         return None
     langs = sorted(set(table["lang"].to_pylist()))
-    labels = np.array([langs.index(x) for x in table["lang"].to_pylist()])
+    labels = np.searchsorted(langs, table["lang"].to_pylist())
     lists = table["w"].combine_chunks()
     if len(langs) == 1:
         return Model(langs, np.zeros((1 << BITS, 1)), np.zeros(0, np.uint64), np.zeros((0, 1)), np.zeros((1, 1)))
@@ -196,14 +239,15 @@ def trained(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
 
 
 def predicted(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` of `docs` with __lang and __score, names that no input should have."""
+    """The columns `keep` of `docs`, then the language and its score under names that `docs` does not have."""
     kept = [F.col(c) for c in keep]
+    lang, rated, split = unclashing(docs, "lang_found", "lang_score", "words")
     if model is None:
-        return docs.select(*kept, F.lit(UNKNOWN).alias("__lang"), F.lit(0.0).alias("__score"))
+        return docs.select(*kept, F.lit(UNKNOWN).alias(lang), F.lit(0.0).alias(rated))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's parameters
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    schema = StructType([*(docs.schema[c] for c in keep), StructField("__lang", StringType()), StructField("__score", DoubleType())])
+    schema = StructType([*(docs.schema[c] for c in keep), StructField(lang, StringType()), StructField(rated, DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -222,19 +266,20 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFram
                     ends = np.cumsum(sizes)[has]
                     mean = np.add.reduceat(marginal, ends - sizes[has], axis=0) / sizes[has][:, None]
                     best[has], score[has] = mean.argmax(axis=1), np.clip(mean.max(axis=1), 0, 1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, SLICE) for k in range(len(keep))), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, "__lang", "__score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, SLICE) for k in range(len(keep))), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, lang, rated])
             pa.default_memory_pool().release_unused()  # workers are kept from task to task
 
-    return docs.select(*kept, words_of(F.col("text")).alias("__words")).mapInArrow(work, schema)
+    return docs.select(*kept, words_of(F.col("text")).alias(split)).mapInArrow(work, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
-    made = predicted(docs, trained(docs), ["doc_id"])
-    return made.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    made = predicted(docs, trained(docs), ["doc_id"]).toDF("doc_id", "lang_pred", "score")
+    return made.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of `docs` with a known language, with their columns; lang is what was predicted. Texts without letters, or without a language of the share `least`, go."""
     made = predicted(docs, trained(docs), docs.columns)
-    return made.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).withColumn("lang", F.col("__lang")).select(*docs.columns)
+    lang, rated = made.columns[-2:]
+    return made.where((F.col(lang) != UNKNOWN) & (F.col(rated) >= least)).withColumn("lang", F.col(lang)).select(*docs.columns)
