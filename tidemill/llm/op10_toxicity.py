@@ -3,8 +3,9 @@
 A token that may hide a word (digits or marks between letters, letters repeated, letters spaced out) becomes a lattice:
 each character may stand for itself, for the letters that it resembles, or for nothing (marks, repetitions). A Viterbi
 search finds the letters with the best product of channel and character-language-model probabilities; the model is a
-trigram model whose counts come from every document. A token of letters alone without a letter after itself has a
-lattice with one path, so it is its own restoration.
+trigram model whose counts come from every document, over the symbols that the search scores. A token of letters alone
+without a letter after itself has a lattice with one path, so it is its own restoration; any doubled letter makes two.
+Learning and scoring restore alike, so labels do not bend the channel.
 
 The restored words are then scored by logistic regression over words and their prefixes of four to six letters; a
 document is at least as toxic as the lower end of its surest feature's interval, where that is `SURE` or more. The
@@ -14,7 +15,8 @@ crc32(doc_id) mod 5 is not 0.
 
 Defined results: a null or empty text has no words and gets the base rate; without usable labels every score is 0. The
 score depends on the text alone, so ties and repeated rows agree; repeated label rows count as often as they occur, and
-labels without a document not at all. An empty table gives an empty result. Only doc_id and text of the documents and
+labels without a document not at all; of
+documents that share an id the smallest text is learned from. An empty table gives an empty result. Only doc_id and text of the documents and
 doc_id and toxic of the labels are read, so extra columns cannot clash.
 """
 
@@ -26,10 +28,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, drop, saved
 from .op5_langid import remainder
 
 TRAIN_DOCS = 8000
@@ -37,8 +40,8 @@ TRAIN_DOCS = 8000
 LEAST_DOCS, Z, ABOVE, SURE = 4, 1.96, 3.0, 0.7
 PREFIXES = (4, 5, 6)
 STEPS, RIDGE = 600, 0.005
-#: Paths kept in each state of the search, and what a restoration gains, in nats, by being a known toxic word.
-PATHS, KNOWN = 2, 3.0
+#: Paths kept in each state of the search.
+PATHS = 2
 
 #: Letters that a digit or mark may stand for.
 RESEMBLES = {
@@ -53,9 +56,9 @@ UNREAD, DOUBLED, REPEATED = 7.0, 2.5, 0.2
 #: Symbols of the language model: a word's edge, a to z, and one for all other letters.
 EDGE, OTHER, SYMBOLS = 0, 27, 28
 _BYTE = np.full(256, OTHER, np.int64)
-_BYTE[:128] = -1
+_BYTE[:192] = -1  # a letter beyond ASCII counts by its first byte
 for _k in range(26):
-    _BYTE[ord("a") + _k] = _BYTE[ord("A") + _k] = _k + 1
+    _BYTE[ord("a") + _k] = _k + 1
 
 _RUN = re.compile(r"([^\W\d_])\1")
 _BLANKS = re.compile(f"[{SPACE}]+")
@@ -82,7 +85,8 @@ def symbol(letter: str) -> int:
 
 
 def trigram_counts(tokens: pa.StringArray, times: np.ndarray) -> np.ndarray:
-    """Trigrams of symbols in the letters of the tokens, each token `times` as often. Marks are no symbols; a byte beyond ASCII is one other letter."""
+    """Trigrams of symbols in the letters of the tokens, each token `times` as often: the symbols that the search scores. Marks are none."""
+    tokens = pc.replace_substring_regex(pc.utf8_lower(tokens), r"[^\pL]+", "")
     n = len(tokens)
     out = np.zeros(SYMBOLS**3, np.int64)
     if not n:
@@ -129,14 +133,13 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 @dataclass
 class Restorer:
-    """The search over character lattices. `known` are words that a restoration gains by."""
+    """The search over character lattices; the same when learning and when scoring."""
 
     model: list
-    known: frozenset = frozenset()
     seen: dict = field(default_factory=dict)
 
     def words(self, token: str) -> tuple[str, ...]:
-        """The words that a token or spaced-out run stands for; its plain letters if no lattice is needed."""
+        """The words that a token or spaced-out run stands for; its plain letters too, for a doubled letter is often right."""
         w = _BLANKS.sub(" ", token).lower().strip(_ENDS + " ")
         if not w:
             return ()
@@ -180,8 +183,6 @@ class Restorer:
                         _add(step, (EDGE, EDGE, ""), [(c + gain, t + " ") for c, t in paths])
             states, before = step, x
         ends = [(c + model[a][b][EDGE], t) for (a, b, _), paths in states.items() for c, t in paths]
-        if self.known:
-            ends = [(c - KNOWN * any(y in self.known for y in t.split()), t) for c, t in ends]
         return min(ends)[1].split()
 
 
@@ -207,9 +208,6 @@ class Scorer:
     base: float
     model: list
 
-    def restorer(self) -> Restorer:
-        return Restorer(self.model, frozenset(x[1:] for x in self.weights if x[0] == "=" and len(x) > 4))
-
     def score(self, features: Iterable[str]) -> float:
         """The regression's probability, or the surest feature's share of toxic documents if that is more."""
         found = list(features)
@@ -236,12 +234,13 @@ def restored_words(sample: DataFrame, model: list) -> DataFrame:
 def trained(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Scorer | None:
     """A scorer from a bounded sample of labelled rows, or None if it holds no row of either kind."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
-    chosen = usable.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("__id"), "__id", "toxic").limit(train_docs)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # bounded by train_docs
+    chosen = usable.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id", "toxic").limit(train_docs).withColumn("at", F.monotonically_increasing_id())
+    chosen = saved(chosen)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("id").distinct()), F.col("doc_id") == F.col("id"))
+    sample = texts.groupBy("id").agg(F.min("text").alias("text")).join(chosen, "id")  # at most train_docs rows: of documents with one id the smallest text
     model = language_model(docs).tolist()
-    from .common import drop, saved
-
-    rows = saved(restored_words(sample.select(F.xxhash64("doc_id", "text").alias("row"), "toxic", "text"), model))
+    rows = saved(restored_words(sample.select(F.xxhash64("id", "at").alias("row"), "toxic", "text"), model))
+    drop(chosen)
     total, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not total or toxic in (0, total):
         drop(rows)
@@ -284,7 +283,7 @@ def scored(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        restorer = m.restorer()
+        restorer = Restorer(m.model)
         weights = m.weights
         a, b, c = PREFIXES
 
