@@ -68,6 +68,61 @@ def test_classes(spark, monkeypatch, large):
     assert left.columns == frame.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(want))
 
 
+def test_a_pair_in_a_small_and_in_a_large_bucket(spark, monkeypatch):
+    """The same pairs, alone and among many near copies, link alike, with and without the sketches."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(100)]
+
+    def edited(n):
+        x = list(base)
+        for k in rng.sample(range(100), n):
+            x[k] = word()
+        return " ".join(x)
+
+    pair = [edited(2), edited(2)]
+    crowd = [edited(rng.choice([0, 1, 2, 3, 5])) for _ in range(150)]
+    found = {}
+    for name, texts in (("alone", pair), ("crowded", [*pair, *crowd])):
+        for law in (D.DIFFERING, None):
+            for large in (16, 1000):
+                monkeypatch.setattr(D, "LARGE", large)
+                monkeypatch.setattr(D, "BLOCK", 40)
+                frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+                found[name, law, large] = {r.doc_id: r.component_id for r in D.classes(frame, differing=law).collect()}
+    assert found["alone", None, 16] == dict(enumerate(brute(pair))) and found["crowded", None, 16] == dict(enumerate(brute([*pair, *crowd])))
+    for name in ("alone", "crowded"):
+        assert len({tuple(sorted(v.items())) for k, v in found.items() if k[0] == name}) == 1
+
+
+def test_dealt_blocks_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 3)
+    rows = [(1, k, 0 if k < 20 else k) for k in range(27)] + [(2, k, k % 2) for k in range(8)]
+    dealt = D.dealt_blocks(spark.createDataFrame(rows, "bucket long, node long, comp long")).collect()
+    at = {}
+    for r in dealt:
+        at.setdefault((r.bucket, r.lo, r.hi), []).append((r.node, r.mine))
+    comp = {(b, k): c for b, k, c in rows}
+    main = {1: 0, 2: 1}
+    for bucket in (1, 2):
+        met = Counter()
+        for (b, lo, hi), members in at.items():
+            if b == bucket:
+                met.update(frozenset((x, y)) for x, m in members for y, n in members if x < y and (lo == hi or m != n))
+        nodes = [k for b, k, _ in rows if b == bucket]
+        want = Counter(frozenset((x, y)) for x in nodes for y in nodes if x < y and not comp[bucket, x] == comp[bucket, y] == main[bucket])
+        assert met == want
+
+
+def test_sketch_gap():
+    rng = np.random.default_rng(2)
+    s = rng.integers(0, 2**63, (40, D.COORDINATES)).astype(np.uint64)
+    s[1::2, ::3] = s[::2, ::3]
+    made = D.sketches(s)
+    bits = D.mix(s) & np.uint64(15)
+    assert (D.sketch_gap(made, made) == (bits[:, None, :] != bits[None, :, :]).sum(axis=2)).all()
+
+
 def test_odd_rows(spark):
     frame = spark.createDataFrame([(None, "some words here"), (1, "some words here"), (1, "some words here"), (2, "Some words HERE"), (None, None)], "doc_id long, text string")
     got = sorted(D.classes(frame).collect(), key=str)

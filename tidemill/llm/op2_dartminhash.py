@@ -7,15 +7,18 @@ regions get equal darts in every document. A signature keeps the earliest dart o
 so two documents agree in a coordinate with the probability of their weighted Jaccard similarity, at a cost of the
 document's length plus k log k darts, whatever its weight.
 
-`BANDS` bands of `ROWS` coordinates are joined. Candidates in a bucket are compared with pivots. A pair whose sketches
-(four bits of each coordinate) differ in more than `DIFFERING` places is dropped: a pair of similarity 0.8 differs in 24
-of 126 on average, with a deviation of 4.4, so 42 lies beyond four deviations. The others are compared exactly, on their
-shingles: pairs with a similarity of `SIMILARITY` or more are links, and classes are the links' components. In a round
-every bucket that still holds two classes names pivots (first one, then 16 times more in each round), each pivot is
-compared with the bucket's members of other classes, and leaves the bucket. After the first round, buckets of more than
-`LARGE` members are dealt to tasks by pairs of blocks, where matrix products compare all their shingles and only a
-forest of the links leaves the task. The rounds end when no bucket holds two classes; so every pair that shares a band
-is either compared or already in one class, and no rows for all pairs of a group are made.
+`BANDS` bands of `ROWS` coordinates are joined. Candidates in a bucket are compared with pivots. One law decides about a
+pair wherever it meets: sketches (four bits of each coordinate) that differ in at most `differing` places, and then an
+exact comparison of the shingles: pairs with a similarity of `SIMILARITY` or more are links, and classes are the links'
+components. A pair of similarity 0.8 differs in 24 of 126 places on average, with a deviation of 4.4; `DIFFERING` = 42 lies
+beyond four deviations and loses one pair in 50,000, where the bands lose one in 600; `differing=None` compares all.
+
+First every bucket that holds two classes names one pivot, which is compared with the bucket's members of other classes
+and leaves the bucket. Then buckets of at most `LARGE` members name more and more pivots until they are settled. Larger ones
+are dealt to tasks by pairs of blocks, where matrix products compare the shingles and only a forest of the links leaves
+the task. The bucket's largest class is not compared with itself: its members meet only the blocks of the others, so a
+hot bucket of near copies costs its size times the blocks of those that its pivot did not reach, and no rows for all pairs
+of a group are made. Every pair that shares a band is either compared or already in one class.
 
 Defined results: texts with equal lower-case words are copies. A text with one to four words has one shingle, all of
 its words. A null text, or one without words, is like no other document, and so is a row with a null doc_id: its
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop, saved
+from .common import SPACE, drop, saved, unclashing
 from .components import components
 
 SHINGLE = 5
@@ -43,7 +46,7 @@ COORDINATES = BANDS * ROWS
 SKETCH = -(-COORDINATES // 16)
 #: Coordinates in which the four-bit sketches of a candidate pair may differ.
 DIFFERING = 42
-#: Members beyond which a bucket is compared inside tasks, and members of a block there.
+#: Members beyond which a bucket is compared inside tasks (by the same law), and members of a block there.
 LARGE, BLOCK = 16, 256
 #: Regions worked on at once in a worker; a longer document is worked on alone.
 CHUNK = 50_000
@@ -130,7 +133,7 @@ def sketches(signature: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(parts, axis=2)
 
 
-def differing(a: Column, b: Column) -> Column:
+def differing_places(a: Column, b: Column) -> Column:
     """In how many coordinates two sketches differ."""
     low = F.lit(0x1111111111111111)
 
@@ -178,6 +181,17 @@ def signed(docs: DataFrame) -> DataFrame:
     return hashed.select("doc_id", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"), "w").mapInArrow(work, "doc_id long, k1 long, k2 long, n long, bands array<long>, sketch array<long>")
 
 
+def sketch_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates each sketch of `a` differs from each of `b`."""
+    out, low = np.zeros((len(a), len(b)), np.int16), np.uint64(0x1111111111111111)
+    for k in range(SKETCH):
+        x = a[:, k, None] ^ b[None, :, k]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        out += np.bitwise_count(x & low)
+    return out
+
+
 def shingled(docs: DataFrame) -> DataFrame:
     """node and its regions by the upper half of their hashes, for the rows of `docs` (doc_id, text)."""
 
@@ -192,7 +206,7 @@ def shingled(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("node"), word_hashes(F.col("text")).alias("w")).mapInArrow(work, "node long, regions array<int>")
 
 
-def forest_of_links(nodes: np.ndarray, sizes: np.ndarray, values: np.ndarray, side: np.ndarray, similarity: float) -> np.ndarray:
+def forest_of_links(nodes: np.ndarray, sizes: np.ndarray, values: np.ndarray, sketch: np.ndarray, side: np.ndarray, similarity: float, differing: int | None) -> np.ndarray:
     """(node, smaller node) edges that span the components of the links among sets. `values` holds the sets end to end; where both sides occur, only pairs across them are links."""
     n = len(nodes)
     owner = np.repeat(np.arange(n), sizes)
@@ -202,13 +216,15 @@ def forest_of_links(nodes: np.ndarray, sizes: np.ndarray, values: np.ndarray, si
     _, column = np.unique(column, return_inverse=True)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    both = np.zeros((n, n), np.float32)
+    both = np.zeros((n, n))
     for a in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
         lo, hi = np.searchsorted(column, (a, a + 2048))
-        part = np.zeros((n, 2048), np.float32)
+        part = np.zeros((n, 2048), np.float32)  # a part's sums are small whole numbers
         part[owner[lo:hi], column[lo:hi] - a] = 1
         both += part @ part.T
-    near = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+    near = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-9
+    if differing is not None:
+        near &= sketch_gap(sketch, sketch) <= differing
     np.fill_diagonal(near, False)
     if side.any() and not side.all():
         near &= side[:, None] != side[None, :]
@@ -222,26 +238,40 @@ def forest_of_links(nodes: np.ndarray, sizes: np.ndarray, values: np.ndarray, si
     return np.stack([nodes[moved], label[moved]], 1)
 
 
-def links_inside(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that span the components of each bucket of `large` (bucket, node, size): each pair of blocks of a bucket is one task's work."""
-    dealt = large.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    spread = dealt.select("bucket", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = spread.select("bucket", "node", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+def dealt_blocks(large: DataFrame) -> DataFrame:
+    """(bucket, node, mine, lo, hi): each member of `large` (bucket, node, comp) once for every pair of blocks that it takes part in.
+
+    Blocks 0, 1, ... hold the members outside the bucket's largest class, all of which meet; blocks -1, -2, ... hold that
+    class, whose members meet the others only.
+    """
+    of_comp = large.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    counts = of_comp.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("size"))
+    counts = counts.withColumns({"blocks": F.ceil((F.col("size") - F.col("n_main")) / BLOCK), "main_blocks": F.ceil(F.col("n_main") / BLOCK)})
+    h = F.xxhash64("node")
+    placed = large.join(counts, "bucket").withColumn("mine", F.when(F.col("comp") == F.col("main"), -1 - F.pmod(h, F.col("main_blocks"))).otherwise(F.pmod(h, F.col("blocks"))))
+    meets = F.when(F.col("mine") < 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.sequence(-F.col("main_blocks"), F.col("blocks") - 1))
+    spread = placed.select("bucket", "node", "mine", F.explode(meets).alias("other"))
+    return spread.select("bucket", "node", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+
+
+def links_inside(large: DataFrame, sets: DataFrame, similarity: float, differing: int | None) -> DataFrame:
+    """Links (a, b) that, with the known classes, span the components of each bucket of `large` (bucket, node, comp): each pair of blocks is one task's work."""
 
     def task(key: tuple, rows: pa.Table) -> pa.Table:
         lists = rows["regions"].combine_chunks()
         sizes, values = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+        sketch = rows["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(sizes), -1)
         lo, hi = key[1].as_py(), key[2].as_py()
         side = rows["mine"].to_numpy() == hi if lo != hi else np.zeros(len(sizes), bool)
-        edges = forest_of_links(rows["node"].to_numpy(), sizes, values, side, similarity)
+        edges = forest_of_links(rows["node"].to_numpy(), sizes, values, sketch, side, similarity, differing)
         del rows, lists, values
         pa.default_memory_pool().release_unused()
         return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
 
-    return keyed.join(sets, "node").groupBy("bucket", "lo", "hi").applyInArrow(task, "a long, b long").distinct()
+    return dealt_blocks(large).join(sets, "node").groupBy("bucket", "lo", "hi").applyInArrow(task, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, differing: int | None = DIFFERING) -> DataFrame:
     """One row per row of `docs`: doc_id, copy_of (the smallest id with the same words), component_id (the smallest id of its class) and kept (it is that document)."""
     rows = saved(signed(docs))
     firsts = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
@@ -268,8 +298,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             break
         if pivots == 16:  # the second round: large buckets are settled at once
             counts = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE)
-            large = saved(left.select("bucket", "node").join(counts, "bucket"))
-            settled = saved(links_inside(large, sets, similarity))
+            large = saved(left.join(counts, "bucket").select("bucket", "node", "comp", "sketch"))
+            about = sets.join(large.select("node", "sketch").distinct(), "node")
+            settled = saved(links_inside(large.drop("sketch"), about, similarity, differing))
             rest = saved(left.drop("comp").join(large.select("bucket").distinct(), "bucket", "left_anti"))
             joined = components(forest.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(settled))
             drop(forest, members, left, large, settled)
@@ -281,7 +312,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         chosen = salted.groupBy("bucket", "salt").agg(F.max_by(F.struct("node", "n", "comp", "sketch"), rank).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp"), F.col("p.sketch").alias("pivot_sketch"))
         chosen = saved(chosen)
         near = (F.col("n") >= similarity * F.col("pivot_n") - 1e-9) & (F.col("pivot_n") >= similarity * F.col("n") - 1e-9)
-        alike = (F.col("comp") != F.col("pivot_comp")) & near & (differing(F.col("sketch"), F.col("pivot_sketch")) <= DIFFERING)
+        alike = (F.col("comp") != F.col("pivot_comp")) & near
+        if differing is not None:
+            alike &= differing_places(F.col("sketch"), F.col("pivot_sketch")) <= differing
         pairs = left.join(chosen.withColumnRenamed("bucket", "__b"), (F.col("bucket") == F.col("__b")) & alike).select("pivot", "node").distinct()
         one = pairs.join(sets, "node").select("pivot", F.col("node").alias("other"), F.col("regions").alias("mine"))
         both = one.join(sets.withColumnRenamed("node", "pivot"), "pivot")
@@ -298,8 +331,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose document is the smallest id of its class, with their columns."""
-    gone = classes(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    (gone,) = unclashing(docs, "gone")
+    others = classes(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(others, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 __all__ = ["classes", "components", "deduplicated", "drop", "mix", "regions", "signatures"]
