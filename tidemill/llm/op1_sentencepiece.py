@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNITS, PAIRS = 700_000, 1_000_000
+#: Units of one length up to which each is searched alone, with the same result.
+FEW = 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of pieces in a model file.
 _NORMAL, _UNKNOWN, _BYTE, _OWN = 1, 2, 6, 4
@@ -196,6 +198,49 @@ class Model:
         owner, ids = np.concatenate(who[::-1]), np.concatenate(what[::-1])
         return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=count)
 
+    def single(self, unit: str) -> np.ndarray:
+        """What viterbi() gives for one unit: all its substrings are probed at once, and the path is searched over the hits, so a unit of any length costs its length."""
+        n = len(unit)
+        codes = np.frombuffer(unit.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        starts, ends, pieces = [np.arange(n)], [np.arange(1, n + 1)], [_LONE + codes.astype(np.int64)]
+        rolled = np.zeros(n, np.uint64)
+        for size in range(1, min(n, self.longest) + 1):
+            rolled = rolled[: n - size + 1] * _P + codes[size - 1 :] + np.uint64(1)
+            probe = _mix(rolled + np.uint64(size))
+            who = np.nonzero(self.bits[probe >> _BITS])[0]
+            at = np.minimum(np.searchsorted(self.keys, probe[who]), len(self.keys) - 1)
+            who, piece = who[self.keys[at] == probe[who]], self.ids[at][self.keys[at] == probe[who]]
+            if size == 1:
+                pieces[0][who] = piece
+            else:
+                starts.append(who)
+                ends.append(who + size)
+                pieces.append(piece)
+        i, j, piece = (np.concatenate(x) for x in (starts, ends, pieces))
+        order = np.lexsort((-i, j))  # by end, shorter pieces first
+        best, last = [0.0] + [float("-inf")] * n, [-1] * (n + 1)
+        worth = np.where(piece >= _LONE, self.least, self.scores[np.minimum(piece, len(self.scores) - 1)])
+        stays = {}
+        for a, b, k, w in zip(i[order].tolist(), j[order].tolist(), piece[order].tolist(), worth[order].tolist()):
+            if self.bpe:
+                if best[b] == 0.0 or best[a] != 0.0:  # reached already, or not to be reached from here
+                    continue
+                if a:
+                    pair = (last[a] << 32) | k
+                    if pair not in stays:
+                        left, right = self._text(last[a]), self._text(k)
+                        stays[pair] = self._merged(left + right) == [left, right]
+                    if not stays[pair]:
+                        continue
+                w = 0.0
+            if best[a] + w > best[b]:
+                best[b], last[b] = best[a] + w, k
+        out, at = [], n
+        while at:
+            out.append(last[at])
+            at -= 1 if last[at] >= _LONE else int(self.lengths[last[at]])
+        return np.array(out[::-1], np.int64)
+
     def _final(self, ids: list[int]) -> list[int]:
         """Lone characters as byte pieces, or as one unknown piece a run where the model has no bytes."""
         out: list[int] = []
@@ -216,7 +261,11 @@ class Model:
             step = max(1, 2_000_000 // (length + 1))
             for a in range(0, len(by[length]), step):
                 part = by[length][a : a + step]
-                ids, sizes = self.viterbi(part)
+                if len(part) > FEW:
+                    ids, sizes = self.viterbi(part)
+                else:
+                    each = [self.single(u) for u in part]
+                    ids, sizes = np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
                 if (ids >= _LONE).any():
                     each = [self._final(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1])]
                     ids, sizes = np.fromiter(chain.from_iterable(each), np.int64), np.fromiter(map(len, each), np.int64, len(each))
