@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -304,3 +305,15 @@ def test_doubled_letters(spark):
     scorer = T.Scorer({"=stupid": 5.0}, {}, -3.0, small_model())
     rows = spark.createDataFrame([(1, "a stuupid patio"), (2, "a hello patio")], "doc_id long, text string")
     assert {r.doc_id: r.score > 0.5 for r in T.scored(rows, scorer).collect()} == {1: True, 2: False}
+
+
+def test_long_units(tmp_path):
+    model = S.Model(tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    units = ["".join(rng.choice("abcdeilmnorst") for _ in range(n)) for n in (1, 2, 7, 40, 300, 301)] + ["日本語" * 20, "ß😀x" * 30, "aaaa" * 50]
+    for u in units:
+        assert model.single(u).tolist() == model.viterbi([u])[0].tolist()
+    began = time.time()
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC0123456789") for _ in range(200_000))
+    ids = model.encode([text])[0]
+    assert time.time() - began < 30 and model.decode(ids) == text

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -103,6 +104,15 @@ def test_ledger(spark):
     assert op9_quality.digest(frame.limit(0)).count() == 0
 
 
+def test_windows_that_share_a_hash(spark, monkeypatch):
+    """With two bits of hash nearly all windows collide, and the counts stay right."""
+    monkeypatch.setattr(op9_quality, "_AT", 62)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(5, 60))) for _ in range(40)] + ["a b c d e f g h"]
+    got = {r.doc_id: r.n_repeat_words for r in op9_quality.digest(docs(spark, texts).where("doc_id is not null")).collect()}
+    assert all(got[k] == brute_quality(t)[4] for k, t in enumerate(texts) if k in got) and len(got) >= 40
+
+
 @pytest.mark.parametrize("policy", ["base-v1", "prose-v1"])
 def test_ablation(spark, policy):
     rows = op9_quality.ledger(docs(spark, TEXTS))

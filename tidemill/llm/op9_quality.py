@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, total
+from .common import SPACE, let, total, unclashing
 
 #: Words in a window.
 WINDOW = 5
@@ -55,7 +55,8 @@ def repeated_words(words: Column) -> Column:
     """How many words lie in a window of five words that the text holds twice or more.
 
     Windows are packed as hash and position into longs and sorted, so equal windows become neighbours; neighbours with
-    equal hashes are compared word by word, so a collision of hashes is never counted.
+    equal hashes are compared word by word, so a collision of hashes is never counted. Where different windows share a
+    hash, which could part equal ones, the text's windows are sorted by their words instead.
     """
     place = F.lit((1 << _AT) - 1)
 
@@ -70,9 +71,17 @@ def repeated_words(words: Column) -> Column:
         steps = F.transform(marked, lambda x, k: F.when(k == 0, F.lit(WINDOW).cast("long")).otherwise(F.least(F.lit(WINDOW).cast("long"), x - F.get(marked, k - 1))))
         return total(steps)
 
+    def exactly(ordered: Column) -> Column:
+        equal = lambda k, x: F.coalesce(F.get(ordered, k)["w"] == x["w"], F.lit(False))
+        twice = F.filter(ordered, lambda x, k: equal(k - 1, x) | equal(k + 1, x))
+        return let(F.sort_array(F.transform(twice, lambda x: x["i"])), covered)
+
     def count(ordered: Column) -> Column:
         twice = F.filter(ordered, lambda x, k: same(F.get(ordered, k - 1), x) | same(x, F.get(ordered, k + 1)))
-        return let(F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(place))), covered)
+        alike = lambda a, b: F.coalesce(F.shiftright(a, _AT) == F.shiftright(b, _AT), F.lit(False))
+        shared = F.size(F.filter(ordered, lambda x, k: alike(F.get(ordered, k - 1), x) & ~same(F.get(ordered, k - 1), x))) > 0
+        spelled = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.struct(F.slice(words, i + 1, F.lit(WINDOW)).alias("w"), i.cast("long").alias("i")))
+        return F.when(shared, let(F.sort_array(spelled), exactly)).otherwise(let(F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(place))), covered))
 
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), packed)
     return F.when(F.size(words) > WINDOW, let(F.sort_array(windows), count)).otherwise(F.lit(0).cast("long"))
@@ -112,8 +121,9 @@ def verdict(bits: Column, policy: str | Sequence[str] = POLICY) -> Column:
 
 def ledger(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """One row per document: its keys, all measurements and `failed`, the failure bits."""
-    made = docs.select(*keys, measurements(F.col(text)).alias("__m"))
-    return made.select(*keys, *(F.col("__m")[x].alias(x) for x in MEASURES), failures(F.col("__m")).alias("failed"))
+    (name,) = unclashing(docs, "measured")
+    made = docs.select(*keys, measurements(F.col(text)).alias(name))
+    return made.select(*keys, *(F.col(name)[x].alias(x) for x in MEASURES), failures(F.col(name)).alias("failed"))
 
 
 def ablation(ledger_rows: DataFrame, policies: Mapping[str, Sequence[str]] = POLICIES) -> DataFrame:
