@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ TRAIN_DOCS, LANGS = 400, 64
 BITS, SEGMENT, STEPS = 18, 64, 30
 LEXICON_COUNT = 5
 #: Texts whose chains run side by side, texts that a worker holds the figures of at once, and words of a part of a fit.
-WIDE, SLICE, PART = 512, 1024, 1 << 15
+WIDE, SLICE, PART = 512, 512, 1 << 15
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -201,8 +202,14 @@ def fit(texts: pa.ListArray, labels: np.ndarray, langs: list[str], steps: int =
     return model
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """The lower-case words of each text, without nulls; none for a null text or one without letters."""
+    bare = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), r"\PL+", " "))
+    lists = pc.ascii_split_whitespace(bare)
+    sizes = np.where(pc.equal(pc.binary_length(bare), 0).to_numpy(zero_copy_only=False), 0, lists.value_lengths().to_numpy())
+    words = lists.flatten()
+    words = words.filter(pc.greater(pc.binary_length(words), 0))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), words)
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -225,14 +232,14 @@ def trained(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     """A model of a bounded sample of labelled documents, or None if there are none."""
     chosen = saved(sampled(docs, train_docs).withColumnRenamed("lang", "lang_of"))
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("lang_of")) & (F.xxhash64("text") == F.col("t")))
-    one = texts.select("id", "lang", "t", words_of(F.col("text")).alias("w")).groupBy("id", "lang", "t").agg(F.min("w").alias("w"))  # bounded by the sample, whatever repeats
-    table = one.orderBy("lang", "id", "t").select("lang", "w").toArrow().combine_chunks()
+    one = texts.groupBy("id", "lang", "t").agg(F.min("text").alias("text"))  # bounded by the sample, whatever repeats
+    table = one.orderBy("lang", "id", "t").select("lang", "text").toArrow().combine_chunks()
     drop(chosen)
     if not len(table):
         return None
     langs = sorted(set(table["lang"].to_pylist()))
     labels = np.searchsorted(langs, table["lang"].to_pylist())
-    lists = table["w"].combine_chunks()
+    lists = words_of(table["text"].combine_chunks())
     if len(langs) == 1:
         return Model(langs, np.zeros((1 << BITS, 1)), np.zeros(0, np.uint64), np.zeros((0, 1)), np.zeros((1, 1)))
     return fit(lists, labels, langs)
@@ -241,10 +248,11 @@ def trained(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
 def predicted(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """The columns `keep` of `docs`, then the language and its score under names that `docs` does not have."""
     kept = [F.col(c) for c in keep]
-    lang, rated, split = unclashing(docs, "lang_found", "lang_score", "words")
+    lang, rated, given = unclashing(docs, "lang_found", "lang_score", "given")
     if model is None:
         return docs.select(*kept, F.lit(UNKNOWN).alias(lang), F.lit(0.0).alias(rated))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's parameters
+    at = keep.index("text") if "text" in keep else len(keep)
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     schema = StructType([*(docs.schema[c] for c in keep), StructField(lang, StringType()), StructField(rated, DoubleType())])
@@ -253,9 +261,8 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFram
         m = shared.value
         names = np.array([*m.langs, UNKNOWN], dtype=object)
         for batch in batches:
-            lists = batch.column(len(keep))
             for a in range(0, len(batch), SLICE):
-                part = lists.slice(a, SLICE)
+                part = words_of(batch.column(at).slice(a, SLICE))
                 sizes = part.value_lengths().to_numpy().astype(np.int64)
                 best, score = np.full(len(part), len(m.langs)), np.zeros(len(part))
                 if sizes.sum():
@@ -269,7 +276,7 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFram
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, SLICE) for k in range(len(keep))), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, lang, rated])
             pa.default_memory_pool().release_unused()  # workers are kept from task to task
 
-    return docs.select(*kept, words_of(F.col("text")).alias(split)).mapInArrow(work, schema)
+    return docs.select(*kept, *(() if "text" in keep else [F.col("text").alias(given)])).mapInArrow(work, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
