@@ -57,10 +57,10 @@ def clean_panel(spark, d):
 
 
 @query("clean_units", f"""WITH {sql.DENSE}, fx AS (SELECT *, last_value(close IGNORE NULLS) OVER ({sql.TICKER}) AS filled FROM dense),
-rx AS (SELECT *, filled / lag(filled) OVER ({sql.TICKER}) - 1 AS ret FROM fx), ok AS (SELECT ticker FROM (SELECT ticker, max(abs(ret)) AS m FROM rx GROUP BY ticker) WHERE m <= 40)
+rx AS (SELECT *, filled / lag(filled) OVER ({sql.TICKER}) - 1 AS ret FROM fx), ok AS (SELECT ticker FROM (SELECT ticker, max(abs(ret)) AS m FROM rx GROUP BY ticker) WHERE m <= 400)
 SELECT ticker, count(close) AS n FROM dense WHERE ticker IN (SELECT ticker FROM ok) GROUP BY ticker""")
 def clean_units(spark, d):
-    return src.clean(src.px_dense(spark, d), 40.0).groupBy("ticker").agg(F.count("close").alias("n"))
+    return src.clean(src.px_dense(spark, d), 400.0).groupBy("ticker").agg(F.count("close").alias("n"))
 
 
 @query("ret_pad", f"""WITH {sql.DENSE}, fx AS (SELECT *, last_value(close IGNORE NULLS) OVER ({sql.TICKER}) AS filled FROM dense)
@@ -90,10 +90,10 @@ def tickers_ever(spark, d):
     return src.tickers_ever(src.membership(spark, d))
 
 
-@query("cache_missing", """SELECT DISTINCT p_brand AS ticker FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_shipdate < TIMESTAMP '1995-01-20')""")
+@query("cache_missing", """SELECT DISTINCT p_brand AS ticker FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_shipdate < TIMESTAMP '1995-01-03')""")
 def cache_missing(spark, d):
     wanted = src.table(spark, d, "part").select(F.col("p_brand").alias("ticker"))
-    return src.missing_tickers(wanted, src.daily(spark, d).where("date < date'1995-01-20'"))
+    return src.missing_tickers(wanted, src.daily(spark, d).where("date < date'1995-01-03'"))
 
 
 @query("dedup_keep_last", """SELECT date, last_key FROM (SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey AS last_key FROM orders QUALIFY row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey DESC) = 1)""")

@@ -8,7 +8,7 @@ grid AS (SELECT i, date, ticker FROM cal, (SELECT DISTINCT ticker FROM daily))""
 DENSE = DAILY + """,
 dense AS (SELECT g.i, g.date, g.ticker, unit AS close, uh AS high, ul AS low, v AS volume FROM grid g LEFT JOIN daily USING (date, ticker))"""
 PX = DAILY + """,
-px AS (SELECT g.i, g.date, g.ticker, floor(avg(a) OVER w * 100 + 0.3719) / 100.0 AS close, floor(avg(h) OVER w * 100 + 0.3719) / 100.0 AS high, floor(avg(l) OVER w * 100 + 0.3719) / 100.0 AS low, floor(avg(v) OVER w * 100 + 0.3719) / 100.0 AS volume
+px AS MATERIALIZED (SELECT g.i, g.date, g.ticker, floor(avg(a) OVER w * 100 + 0.3719) / 100.0 AS close, floor(avg(h) OVER w * 100 + 0.3719) / 100.0 AS high, floor(avg(l) OVER w * 100 + 0.3719) / 100.0 AS low, floor(avg(v) OVER w * 100 + 0.3719) / 100.0 AS volume
   FROM grid g LEFT JOIN daily USING (date, ticker) WINDOW w AS (PARTITION BY g.ticker ORDER BY g.date ROWS 62 PRECEDING)),
 fx AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date) AS filled FROM px),
 rx AS (SELECT *, filled / nullif(lag(filled) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM fx)"""
