@@ -11,7 +11,7 @@ document's length plus k log k darts, whatever its weight.
 pair wherever it meets: sketches (four bits of each coordinate) that differ in at most `differing` places, and then an
 exact comparison of the shingles: pairs with a similarity of `SIMILARITY` or more are links, and classes are the links'
 components. A pair of similarity 0.8 differs in 24 of 126 places on average, with a deviation of 4.4; `DIFFERING` = 42 lies
-beyond four deviations and loses one pair in 50,000, where the bands lose one in 600; `differing=None` compares all.
+beyond four deviations and loses one pair in 32,000, where the bands lose one in 600; `differing=None` compares all.
 
 First every bucket that holds two classes names one pivot, which is compared with the bucket's members of other classes
 and leaves the bucket. Then buckets of at most `LARGE` members name more and more pivots until they are settled. Larger ones
