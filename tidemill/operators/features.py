@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import by_date, by_ticker, change, ffill, pct_rank, roll, safe_div
 
+# Names of features.
 RANKED = ("mom_1m", "mom_3m", "mom_6m", "mom_12m_1m", "mom_1w_rev", "vol_22", "vol_63", "vol_252", "dev_22", "ma_50_200", "resid_mom_12m_1m", "idio_vol_63", "mom_acc_3_12", "vol_change")
 CONSENSUS = ("mom_12m_1m", "resid_mom_12m_1m", "mom_3m", "vol_252", "idio_vol_63")
-CURATED = ("mom_1m_xsrank", "mom_3m_xsrank", "mom_6m_xsrank", "mom_12m_1m_xsrank", "vol_63_xsrank", "dev_22_xsrank", "ma_50_200_xsrank", "mom_acc_3_12_xsrank")
+#: The features that the production models take.
+CURATED = (
+    "mom_1m_xsrank", "mom_3m_xsrank", "mom_6m_xsrank", "mom_12m_1m_xsrank", "resid_mom_12m_1m_xsrank", "mom_1w_rev_xsrank", "ma_50_200_xsrank",
+    "dev_22_xsrank", "vol_252_xsrank", "idio_vol_63_xsrank", "mom_12m_1m_xsrank_dev63", "resid_mom_12m_1m_xsrank_dev63", "vol_change_xsrank", "mom_acc_3_12_xsrank",
+)
+#: The ranks that the factor sum adds up.
+FACTORS = ("mom_1m_xsrank", "mom_3m_xsrank", "mom_12m_1m_xsrank", "resid_mom_12m_1m_xsrank")
 
 
 def with_returns(panel: DataFrame, fill: str = "pad") -> DataFrame:

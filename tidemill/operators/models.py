@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import norm_cdf, pct_rank
+from .splits import elapsed
 
 #: Presets of boosted trees: rounds, depth, rate, share of rows, of columns, least rows of a leaf.
 PRESETS = {
@@ -102,32 +103,47 @@ def information_coefficient(scored: DataFrame, score: str = "score", target: str
     return both.groupBy("date").agg(corr().alias("ic")).agg(F.avg("ic").alias("ic"))
 
 
-def ensemble(scored: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """The weighted mean of the daily ranks of score columns; columns of weight 0 are left out."""
+def rank_mean(weights: dict[str, float]):
+    """The weighted mean of the daily ranks of columns; those of weight 0 are left out."""
     used = {c: w for c, w in weights.items() if w}
     if not used:
         raise ValueError("no model has a weight")
-    total = sum(used.values())
-    mean = sum((pct_rank(c, "date") * w for c, w in used.items()), F.lit(0.0)) / total
-    return scored.select("date", "ticker", mean.alias("score"))
+    return sum((pct_rank(c, "date") * w for c, w in used.items()), F.lit(0.0)) / sum(used.values())
 
 
-def factor_score(ranked: DataFrame, plus: list[str]) -> DataFrame:
-    """The rank of the sum of feature ranks, missing ones left out."""
+def factor_rank(plus: list[str]):
+    """The daily rank of the sum of columns, missing ones left out."""
     some = F.coalesce(*plus).isNotNull()
     total = sum((F.coalesce(c, F.lit(0.0)) for c in plus), F.lit(0.0))
-    return ranked.select("date", "ticker", pct_rank(F.when(some, total), "date").alias("score"))
+    return pct_rank(F.when(some, total), "date")
+
+
+def ensemble(scored: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The weighted mean of the daily ranks of score columns; columns of weight 0 are left out."""
+    return scored.select("date", "ticker", rank_mean(weights).alias("score"))
+
+
+def factor_score(ranked: DataFrame, plus: list[str]) -> DataFrame:
+    """The rank of the sum of feature ranks, missing ones left out."""
+    return ranked.select("date", "ticker", factor_rank(plus).alias("score"))
 
 
 def blend(rows: DataFrame, parts: dict[str, float]) -> DataFrame:
     return rows.select("date", "ticker", sum((F.col(c) * w for c, w in parts.items()), F.lit(0.0)).alias("score"))
 
 
-def compare(train: DataFrame, valid: DataFrame, features: list[str], names: tuple[str, ...] = ("ridge", "elastic_net", "xgb", "lgbm"), label: str = "y") -> tuple[DataFrame, dict[str, Fitted]]:
+def fit_named(rows: DataFrame, features: list[str], name: str, label: str = "y", **more) -> Fitted:
+    """The regressor of that name; `more` are settings of boosted trees."""
+    if name == "ridge":
+        return fit_linear(rows, features, label)
+    return fit_linear(rows, features, label, 0.001, 0.3) if name == "elastic_net" else fit_boosted(rows, features, label, name, **more)
+
+
+def compare(train: DataFrame, valid: DataFrame, features: list[str], names: tuple[str, ...] = ("ridge", "elastic_net", "xgb", "lgbm"), label: str = "y", **more) -> tuple[DataFrame, dict[str, Fitted]]:
     """(leaderboard: model, train_ic, val_ic, fit_time_s; the fitted models)."""
     fits, rows = {}, []
     for name in names:
-        fits[name] = fit_linear(train, features, label) if name == "ridge" else fit_linear(train, features, label, 0.001, 0.3) if name == "elastic_net" else fit_boosted(train, features, label, name)
+        fits[name] = fit_named(train, features, name, label, **more)
         ics = [information_coefficient(fits[name].predict(part), target=label).first()["ic"] for part in (train, valid)]
         rows.append((name, *ics, fits[name].seconds))
     return train.sparkSession.createDataFrame(rows, "model string, train_ic double, val_ic double, fit_time_s double"), fits
@@ -169,28 +185,43 @@ class TwoStage:
 
 
 def fit_two_stage(train: DataFrame, valid: DataFrame, features: list[str], label: str = "y", threshold: float = 0.5, **more) -> TwoStage:
-    """The base model on `train`; the meta model on the long calls of `valid`, or all of it where they are fewer than 50, with an early-stopping tail of a fifth."""
+    """The base model on `train`; the meta model on the long calls of `valid`, or all of it where they are fewer than 50, with an early-stopping tail of the dates after four fifths of the rows."""
     base = fit_boosted(train, features, label, classify=True, **more)
     scored = meta_features(base.predict(valid, "p_base"), threshold).withColumn("__meta", ((F.col("base_side") == 1) & (F.col(label) == 1)).cast("double"))
     calls = scored.where("base_side = 1")
     used = calls if calls.limit(50).count() >= 50 else scored
-    order = Window.orderBy("date", "ticker")
-    used = used.withColumn("__tail", F.percent_rank().over(order) > 0.8)
-    return TwoStage(base, fit_boosted(used, [*features, "p_base", "base_side", "p_base_rank"], "__meta", classify=True, validation="__tail", **more), threshold)
+    used = elapsed(used, "__share").withColumn("__tail", F.col("__share") > 0.8).drop("__share").cache()  # every round of the fit reads it
+    meta = fit_boosted(used, [*features, "p_base", "base_side", "p_base_rank"], "__meta", classify=True, validation="__tail", **more)
+    used.unpersist()
+    return TwoStage(base, meta, threshold)
+
+
+def auc(known: DataFrame, score: str = "score", label: str = "y", bins: int = 4096) -> DataFrame:
+    """One row: the share of (1, 0) pairs in the right order, ties as halves. Rows are counted by score, and scores ranked inside equal bins of their range, whose totals alone share a window."""
+    x = F.col(score).cast("double")
+    groups = known.groupBy(x.alias("s")).agg(F.sum(label).cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
+    ends = groups.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    place = F.coalesce(F.floor((F.col("s") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(0))
+    binned = groups.join(F.broadcast(ends)).select("s", "p", (F.col("n") - F.col("p")).alias("m"), place.alias("b"))  # one row
+    ahead = lambda w: F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    firsts = binned.groupBy("b").agg(F.sum("m").alias("m")).select("b", ahead(Window.orderBy("b")).alias("first"))  # at most bins + 1 rows
+    inside = binned.withColumn("below", ahead(Window.partitionBy("b").orderBy("s")))
+    right = F.sum(F.col("p") * (F.col("first") + F.col("below") + F.col("m") / 2))
+    return inside.join(F.broadcast(firsts), "b").agg((right / F.nullif(F.sum("p") * F.sum("m"), F.lit(0.0))).alias("auc"))
 
 
 def classification_report(scored: DataFrame, score: str = "score", label: str = "y", threshold: float = 0.5) -> DataFrame:
     """One row: auc (by ranks), accuracy, precision, recall and f1."""
-    known = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("__n", F.lit(1)).withColumn("__r", pct_rank(score, "__n"))
+    known = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     hit = (F.col(score) > threshold).cast("double")
     pos, n = F.sum(label), F.count(F.lit(1))
     tp = F.sum(hit * F.col(label))
-    return known.agg(
-        ((F.sum(F.col("__r") * F.col(label)) * n - pos * (pos + 1) / 2) / F.nullif(pos * (n - pos), F.lit(0.0))).alias("auc"),
+    rest = known.agg(
         F.avg((hit == F.col(label)).cast("double")).alias("accuracy"),
         (tp / F.nullif(F.sum(hit), F.lit(0.0))).alias("precision"), (tp / F.nullif(pos, F.lit(0.0))).alias("recall"),
         (2 * tp / F.nullif(F.sum(hit) + pos, F.lit(0.0))).alias("f1"),
     )
+    return auc(known, score, label).join(F.broadcast(rest))  # one row each
 
 
 def importances(fitted: Fitted) -> list[tuple[str, float]]:

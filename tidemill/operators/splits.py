@@ -17,6 +17,14 @@ def numbered(samples: DataFrame) -> DataFrame:
     return samples.join(F.broadcast(firsts), "date").withColumn("row_id", (F.col("__first") + F.row_number().over(inside) - 1).cast("long")).drop("__first")
 
 
+def elapsed(rows: DataFrame, name: str) -> DataFrame:
+    """Adds `name`: the share of the other rows that lie on earlier dates, from counts by date, so no window spans the table."""
+    sizes = rows.groupBy("date").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    share = F.coalesce(F.sum("__n").over(before), F.lit(0)) / F.greatest(F.sum("__n").over(Window.partitionBy()) - 1, F.lit(1))
+    return rows.join(F.broadcast(sizes.select("date", share.alias(name))), "date")  # date-level
+
+
 def chunk_of(row_id, n, k: int):
     """The contiguous chunk of a row when n rows are cut into k nearly equal runs, the longer ones first."""
     size, longer = F.floor(n / k), n % k
