@@ -42,6 +42,8 @@ PREFIXES = (4, 5, 6)
 STEPS, RIDGE = 600, 0.005
 #: Paths kept in each state of the search.
 PATHS = 2
+#: Rows whose tokens a worker unpacks at once.
+SLICE = 1024
 
 #: Letters that a digit or mark may stand for.
 RESEMBLES = {
@@ -112,12 +114,21 @@ def trigram_counts(tokens: pa.StringArray, times: np.ndarray) -> np.ndarray:
     return np.bincount(code, np.repeat(weight, sizes + 3)[fits], SYMBOLS**3).astype(np.int64)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of at most `rows` rows; what a batch held is given back, as workers are kept from task to task."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def language_model(docs: DataFrame) -> np.ndarray:
     """-log P(third | first, second) as a cube of symbols, from all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(SYMBOLS**3, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             coded = batch.column(0).flatten().dictionary_encode()
             sums += trigram_counts(coded.dictionary.cast(pa.string()), np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)))
         at = np.nonzero(sums)[0]
@@ -224,7 +235,7 @@ def restored_words(sample: DataFrame, model: list) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             words = [sorted({w for x in (*t, *s) for w in restorer.words(x)}) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["row", "toxic", "words"])
 
@@ -299,27 +310,26 @@ def scored(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
                     return bool(w)
             return w[:a] in weights or w[:b] in weights or w[:c] in weights or "=" + w in weights or _RUN.search(w) is not None
 
-        for batch in batches:
-            for at in range(0, len(batch), 2048):
-                lists = batch.column(1).slice(at, 2048)
-                coded = lists.flatten().dictionary_encode()
-                names = coded.dictionary.to_pylist()
-                some = {k: x for k, t in enumerate(names) if quick(t) and (x := found(t))}
-                has = np.zeros(len(names) + 1, bool)
-                has[list(some)] = True
-                index = coded.indices.to_numpy()
-                where = np.nonzero(has[index])[0]
-                owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[where]
-                features: dict[int, set] = {}
-                for d, k in zip(owner.tolist(), index[where].tolist()):
-                    features.setdefault(d, set()).update(some[k])
-                for d, runs in enumerate(batch.column(2).slice(at, 2048).to_pylist()):
-                    for run in runs:
-                        if x := found(run):
-                            features.setdefault(d, set()).update(x)
-                base = m.score(())
-                score = [m.score(sorted(features[d])) if d in features else base for d in range(len(lists))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 2048), pa.array(score, pa.float64())], names=["doc_id", "score"])
+        for batch in slices(batches, 2 * SLICE):
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            some = {k: x for k, t in enumerate(names) if quick(t) and (x := found(t))}
+            has = np.zeros(len(names) + 1, bool)
+            has[list(some)] = True
+            index = coded.indices.to_numpy()
+            where = np.nonzero(has[index])[0]
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[where]
+            features: dict[int, set] = {}
+            for d, k in zip(owner.tolist(), index[where].tolist()):
+                features.setdefault(d, set()).update(some[k])
+            for d, runs in enumerate(batch.column(2).to_pylist()):
+                for run in runs:
+                    if x := found(run):
+                        features.setdefault(d, set()).update(x)
+            base = m.score(())
+            score = [m.score(sorted(features[d])) if d in features else base for d in range(len(lists))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
