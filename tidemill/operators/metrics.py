@@ -128,3 +128,12 @@ def constraints(curve: DataFrame, weights: DataFrame) -> DataFrame:
     both = m.join(F.broadcast(g))
     rows = {"max_drawdown": F.col("Max Drawdown") > -0.20, "duration": F.col("Max DD Duration (days)") < 126, "total_return": F.col("Total Return") > 0, "gross": F.col("gross") <= 1.001}
     return both.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check"), v.alias("passed")) for k, v in rows.items()))).alias("x")).select("x.*")
+
+
+def describe(rows: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+    """One row per column: count, mean, sample deviation, min, quartiles, max of the values that are known. Exact quartiles (interpolated) hold the distinct values of a column in memory; `exact=False` takes bounded sketches."""
+    shares = F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75)))
+    long = rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "name", "value").where(F.col("value").isNotNull())
+    quartiles = F.percentile("value", shares) if exact else F.percentile_approx("value", shares, 10000)
+    found = long.groupBy("name").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("low"), quartiles.alias("q"), F.max("value").alias("high"))
+    return found.select("name", "n", "mean", "std", "low", *(F.col("q")[k].alias(f"p{p}") for k, p in enumerate((25, 50, 75))), "high")

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
-import random
 import time
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -226,22 +223,3 @@ def classification_report(scored: DataFrame, score: str = "score", label: str =
 
 def importances(fitted: Fitted) -> list[tuple[str, float]]:
     return sorted(zip(fitted.features, fitted.model.featureImportances.toArray().tolist()), key=lambda x: -x[1])
-
-
-def search(rows: DataFrame, folds: DataFrame, features: list[str], space: dict[str, list], trials: int = 4, seed: int = 0, label: str = "y", classify: bool = False) -> DataFrame:
-    """Seeded random search over purged folds: (trial, params, score), the score a mean AUC or IC over folds. `folds` has (split, date, ticker, role)."""
-    grid = list(itertools.product(*space.values()))
-    picks = random.Random(seed).sample(grid, min(trials, len(grid)))
-    splits = sorted(r["split"] for r in folds.select("split").distinct().collect())  # a few folds
-    out = []
-    for t, pick in enumerate(picks):
-        params, scores = dict(zip(space, pick)), []
-        for s in splits:
-            part = folds.where(F.col("split") == s).select("date", "ticker", "role").join(rows, ["date", "ticker"])
-            fitted = fit_boosted(part.where("role = 'train'"), features, label, classify=classify, **params)
-            scored = fitted.predict(part.where("role = 'test'"))
-            scores.append(BinaryClassificationEvaluator(rawPredictionCol="score", labelCol=label).evaluate(scored) if classify else information_coefficient(scored, target=label).first()["ic"] or 0.0)
-        out.append((t, repr(params), sum(scores) / len(scores)))
-    return rows.sparkSession.createDataFrame(out, "trial int, params string, score double")
-
-

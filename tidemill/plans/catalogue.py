@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import change, norm_cdf_sql, pct_rank, zscore
-from ..operators import backtest, clusters, features, metrics, models, portfolio, regime, splits
+from ..operators import backtest, clusters, features, metrics, models, portfolio, regime, splits, validation
 from ..sources import panels as src
+from ..sources import synthetic
 from . import pipelines, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -369,6 +370,7 @@ def _scored(spark, d):
 
 query("ic_pooled", f"{_IC} SELECT round(corr(a, b), 6) AS ic FROM k")(lambda spark, d: rounded(models.information_coefficient(_scored(spark, d))))
 query("ic_daily_mean", f"{_IC} SELECT round(avg(c), 6) AS ic FROM (SELECT date, CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) END AS c FROM k GROUP BY date)")(lambda spark, d: rounded(models.information_coefficient(_scored(spark, d), mode="daily_mean")))
+_R_DESC = "round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS low, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75, round(max(v), 6) AS high"
 _TWO = sql.RAW + ", g AS (SELECT date, ticker, round(mom_1m, 9) AS x, round(vol_63, 9) AS z, round(ma_50_200, 9) AS u FROM f2)"
 
 
@@ -391,6 +393,7 @@ def _pbase(spark, d):
 
 
 query("meta_features", f"WITH {_PB} SELECT date, ticker, round(p_base, 6) AS p_base, CASE WHEN p_base > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS base_side, round({sql.pct_rank('p_base', 'date')}, 6) AS p_base_rank FROM p")(lambda spark, d: rounded(models.meta_features(_pbase(spark, d))))
+query("describe_features", f"WITH {_TWO}, l AS (UNPIVOT (SELECT x, z, u FROM g) ON x, z, u INTO NAME name VALUE v) SELECT name, count(v) AS n, {_R_DESC} FROM l GROUP BY name")(lambda spark, d: rounded(metrics.describe(_two(spark, d), ["x", "z", "u"])))
 query("bet_size", f"WITH {_PB}, q AS (SELECT date, ticker, least(greatest(p_base, 1e-6), 1 - 1e-6) AS p FROM p), z AS (SELECT date, ticker, (p - 0.5) / sqrt(p * (1 - p)) AS z FROM q) SELECT date, ticker, round(greatest(2 * {norm_cdf_sql('z')} - 1, 0), 6) AS bet FROM z")(
     lambda spark, d: rounded(_pbase(spark, d).select("date", "ticker", models.bet_size(F.col("p_base")).alias("bet")))
 )
@@ -432,12 +435,47 @@ query("two_stage")(lambda spark, d: models.fit_two_stage(*(t := _train(spark, d)
 query("leaderboard")(lambda spark, d: models.compare(*_train(spark, d), _COLS, maxIter=ROUNDS)[0].drop("fit_time_s"))
 
 
+query("ranker")(lambda spark, d: models.fit_boosted((t := _train(spark, d))[0], _COLS, preset="ranker", maxIter=ROUNDS).predict(t[1]).select("date", "ticker", pct_rank("score", "date").alias("score")))
+
+
+@query("gbt_weighted")
+def gbt_weighted(spark, d):
+    """The classifier of the upper half, its rows weighted by age."""
+    train, valid = _train(spark, d)
+    return models.fit_boosted(features.uniqueness_weights(train, half_life=756.0), _COLS, "up", classify=True, weight="w", maxIter=ROUNDS).predict(valid).select("date", "ticker", "score")
+
+
+def _samples(rows):
+    return validation.samples_of(rows, features.event_ends(rows.select("date").distinct()))
+
+
+#: Settings that a search draws from, for few rounds.
+_SPACE = {"maxDepth": (2, 5), "maxIter": [3, 5], "stepSize": (0.01, 0.15), "subsamplingRate": (0.6, 1.0), "minInstancesPerNode": (1, 20)}
+
+
 @query("hp_search")
 def hp_search(spark, d):
     rows, _ = _train(spark, d)
-    ends = features.event_ends(rows.select("date").distinct())
-    folds = splits.purged_kfold(rows.select("date", "ticker").join(F.broadcast(ends), "date"), 2)
-    return models.search(rows, folds, _COLS, {"maxDepth": [2, 3], "maxIter": [3, 5]}, 2)
+    return validation.search(rows, splits.purged_kfold(_samples(rows), 2), _COLS, _SPACE, 3, rule=validation.MedianRule(2))
+
+
+@query("hp_search_calls")
+def hp_search_calls(spark, d):
+    train, valid = _train(spark, d)
+    scored = models.fit_boosted(train, _COLS, "up", classify=True, maxIter=3).predict(valid, "p_base")
+    folds = lambda long: splits.purged_kfold(_samples(long), 2)
+    return validation.search_calls(scored, folds, [*_COLS, "p_base", "p_base_rank"], _SPACE, 3, label="up", rule=validation.MedianRule(2, 1))
+
+
+@query("cpcv_scores")
+def cpcv_scores(spark, d):
+    """All 15 splits of 2 of 6 groups, each with a ridge of its own."""
+    rows, _ = _train(spark, d)
+    return validation.evaluate(rows, splits.cpcv(_samples(rows)), lambda part: models.fit_linear(part, _COLS))
+
+
+query("cpcv_spread")(lambda spark, d: validation.spread(cpcv_scores(spark, d)))
+query("synthetic_panel")(lambda spark, d: synthetic.synthetic_panel(spark))
 
 
 query("cluster_avg_linkage")(lambda spark, d: clusters.correlation_clusters(_held(spark, d, 252), 8))
