@@ -445,7 +445,7 @@ def gbt_weighted(spark, d):
     return models.fit_boosted(features.uniqueness_weights(train, half_life=756.0), _COLS, "up", classify=True, weight="w", maxIter=ROUNDS).predict(valid).select("date", "ticker", "score")
 
 
-def _samples(rows):
+def _checked(rows):
     return validation.samples_of(rows, features.event_ends(rows.select("date").distinct()))
 
 
@@ -456,14 +456,14 @@ _SPACE = {"maxDepth": (2, 5), "maxIter": [3, 5], "stepSize": (0.01, 0.15), "subs
 @query("hp_search")
 def hp_search(spark, d):
     rows, _ = _train(spark, d)
-    return validation.search(rows, splits.purged_kfold(_samples(rows), 2), _COLS, _SPACE, 3, rule=validation.MedianRule(2))
+    return validation.search(rows, splits.purged_kfold(_checked(rows), 2), _COLS, _SPACE, 3, rule=validation.MedianRule(2))
 
 
 @query("hp_search_calls")
 def hp_search_calls(spark, d):
     train, valid = _train(spark, d)
     scored = models.fit_boosted(train, _COLS, "up", classify=True, maxIter=3).predict(valid, "p_base")
-    folds = lambda long: splits.purged_kfold(_samples(long), 2)
+    folds = lambda long: splits.purged_kfold(_checked(long), 2)
     return validation.search_calls(scored, folds, [*_COLS, "p_base", "p_base_rank"], _SPACE, 3, label="up", rule=validation.MedianRule(2, 1))
 
 
@@ -471,7 +471,7 @@ def hp_search_calls(spark, d):
 def cpcv_scores(spark, d):
     """All 15 splits of 2 of 6 groups, each with a ridge of its own."""
     rows, _ = _train(spark, d)
-    return validation.evaluate(rows, splits.cpcv(_samples(rows)), lambda part: models.fit_linear(part, _COLS))
+    return validation.evaluate(rows, splits.cpcv(_checked(rows)), lambda part: models.fit_linear(part, _COLS))
 
 
 query("cpcv_spread")(lambda spark, d: validation.spread(cpcv_scores(spark, d)))
